@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, mixing, neighbours, token_counts, toxicity
+from . import bpe, html_text, mixing, near_vectors, neighbours, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,12 @@ def op9_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(_table(spark, sf_dir, "pages"))
 
 
+def op10_link_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_bpe, op7_nearest, op8_toxicity, op9_main_texts)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_bpe, op7_nearest, op8_toxicity, op9_main_texts, op10_link_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
