@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, mixing, near_vectors, neighbours, substrings, suffix_levels, token_counts, toxicity
+from . import bpe, html_text, mixing, near_texts, near_vectors, neighbours, substrings, suffix_levels, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_table(spark, sf_dir, "documents"), name="word_bpe_49k.json")
 
 
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts.near_copies(_table(spark, sf_dir, "documents"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.repeat_digests(_table(spark, sf_dir, "documents"), length=400)
 
@@ -50,7 +54,7 @@ def op10_link_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_passages, op4_bpe, op6_repeats, op7_nearest, op8_toxicity, op9_main_texts, op10_link_vectors)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_passages, op4_bpe, op5_near_copies, op6_repeats, op7_nearest, op8_toxicity, op9_main_texts, op10_link_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
