@@ -5,23 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def list_activity_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("messages"))
-
-
-_QUERIES["list_activity_by_day"] = list_activity_by_day
+from .plans import documents, lists, pipeline, searching, series, threads  # noqa: F401  they register their queries
+from .plans._base import ORACLES, QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return dict(ORACLES)
