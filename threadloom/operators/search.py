@@ -106,9 +106,13 @@ def search(docs: DataFrame, scope: str, query: str, *, sort: str = "relevance",
     return hits.drop("_lexical").orderBy(*order).offset(offset).limit(limit)
 
 
+def _named(facet: str):
+    return lambda value: F.struct(F.lit(facet).alias("facet"), value.alias("value"))
+
+
 def facets(docs: DataFrame, scope: str) -> DataFrame:
     """facet, value, n of every facet in one pass over the documents."""
-    values = [F.transform(F.col(f) if f.endswith(("_keys", "_emails")) else F.array(F.col(f).cast("string")), lambda v, f=f: F.struct(F.lit(f).alias("facet"), v.alias("value"))) for f in FACETS[scope]]
+    values = [F.transform(F.col(f) if f.endswith(("_keys", "_emails")) else F.array(F.col(f).cast("string")), _named(f)) for f in FACETS[scope]]
     return docs.select(F.explode(F.concat(*values)).alias("x")).select("x.*").where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 

@@ -95,7 +95,7 @@ def _diff(t: Tables) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, 2 AS files, 'drivers/p' || l_partkey || '.c' AS path, 'M' AS kind, CAST(l_linenumber AS INTEGER) AS additions, 1 AS deletions, 'ä b' AS path2, 'A' AS kind2,
-CAST(91 + 5 * length(CAST(l_partkey AS VARCHAR)) + 10 * l_linenumber AS INTEGER) AS start2 FROM lineitem""")
+CAST(98 + 5 * length(CAST(l_partkey AS VARCHAR)) + 10 * l_linenumber AS INTEGER) AS start2 FROM lineitem""")
 def diff_metadata(t: Tables) -> DataFrame:
     """Files of diffs with counts and byte offsets."""
     f = _diff(t).withColumn("f", diff_files_udf("diff"))

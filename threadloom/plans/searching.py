@@ -91,4 +91,4 @@ def vector_upsert(t: Tables) -> DataFrame:
     """The last vector written for a key wins."""
     from ..operators.relational import newest
 
-    return newest(t.embeddings, ["label"], [F.desc("vec_id")]).select("vec_id", "label", F.lit(1).alias("version"))
+    return newest(t.embeddings, ["label"], [F.desc("vec_id")]).select("vec_id", "label", F.lit(1).cast("long").alias("version"))

@@ -169,7 +169,9 @@ def patch_subjects(t: Tables) -> DataFrame:
 @query(f"SELECT count(*) AS versions, count(DISTINCT o_custkey) AS series FROM ({_RANKED}) WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def series_lineage(t: Tables) -> DataFrame:
     """Orders as mails of one thread each, whose versions refer to the one before; every customer is one series."""
-    v = versions(t).withColumn("before", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("num"))).withColumn("first", F.first("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("num")))
+    with_items = t.orders.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    v = with_items.select("o_custkey", "o_orderkey", "o_orderdate", F.row_number().over(by).alias("num")).withColumn("before", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("num")))
     i = items(t).withColumn("total", F.max("l_linenumber").over(Window.partitionBy("l_orderkey")))
     rows = v.join(i, F.col("o_orderkey") == F.col("l_orderkey"))
     name = lambda c: F.concat(F.col(c).cast("string"), F.lit("@example.org"))
