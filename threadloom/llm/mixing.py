@@ -96,6 +96,6 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     source_col, text_col = options.get("source_col", "source"), options.get("text_col", "text")
     plan = mix_sources(docs, **options).where("times > 0").select(F.col(id_col).alias("_mid"), F.col(source_col).alias("_msource"), F.col("size").alias("_msize"), F.col("times").alias("_mtimes")).dropDuplicates(["_mid", "_msource", "_msize"])
-    keyed = docs.withColumn("_sized", word_count(F.col(text_col)))
-    on = keyed[id_col].eqNullSafe(plan["_mid"]) & keyed[source_col].eqNullSafe(plan["_msource"]) & (keyed["_sized"] == plan["_msize"])
-    return keyed.join(plan.hint("shuffle_hash"), on).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mtimes")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), word_count(F.col(text_col)).alias("_n"))
+    on = F.col("_i").eqNullSafe(F.col("_mid")) & F.col("_s").eqNullSafe(F.col("_msource")) & (F.col("_n") == F.col("_msize"))
+    return rows.join(plan.hint("shuffle_hash"), on).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_mtimes"))).alias("_copy")).select("_row.*")

@@ -212,8 +212,8 @@ def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     copies = base.select(*DOC).groupBy(*DOC).agg(F.count("*").alias("_rows")).where("_rows > 1").join(chosen, DOC, "left_semi").select(*DOC)
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(text, rf"\A{GAP}|{GAP}\z", ""), GAP, " ")
-    rows = docs.withColumns({"_k": ordered_key(F.col(id_col)), "_d1": F.xxhash64(plain), "_d2": F.xxhash64(F.lit(7), plain)}).join(chosen.hint("shuffle_hash"), DOC, "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), ordered_key(F.col(id_col)).alias("_k"), F.xxhash64(plain).alias("_d1"), F.xxhash64(F.lit(7), plain).alias("_d2")).join(chosen.hint("shuffle_hash"), DOC, "left_semi")
     copies = staged(copies, "repeated-rows")
     if not copies.isEmpty():
         rows = rows.join(copies, DOC, "left_anti").unionByName(rows.join(copies, DOC, "left_semi").dropDuplicates(DOC))
-    return rows.select(*docs.columns)
+    return rows.select("_row.*")

@@ -167,14 +167,16 @@ def without_passages(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id
     texts = staged(classes(base), "texts")
     marks = repeated_windows(base, texts, window)
     done = staged(with_texts(base, marks).mapInArrow(_kept(window, texts=True), "_k long, _d1 long, _d2 long, _removed long, _out string").dropDuplicates(DOC), "kept")
-    keys = {"_k": ordered_key(F.col(id_col)), "_d1": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "_d2": F.xxhash64(F.lit(7), F.coalesce(F.col(text_col), F.lit("")))}
     # What changes: texts that lose words, and copies of texts that a smaller id has.
     copies = base.select(*DOC).join(texts.where("_copies > 1"), ["_d1", "_d2"]).where("_first < _k").select(*DOC, F.lit(0).cast("long").alias("_removed"), F.lit(None).cast("string").alias("_out")).distinct()
-    rows = docs.withColumns(keys).withColumn("_long", word_count(F.col(text_col)) >= window)
+    text = F.col(text_col)
+    filled = F.coalesce(text, F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_was"), (word_count(text) >= window).alias("_long"), ordered_key(F.col(id_col)).alias("_k"), F.xxhash64(filled).alias("_d1"), F.xxhash64(F.lit(7), filled).alias("_d2"))
     out = rows.join(done.unionByName(copies).hint("shuffle_hash"), DOC, "left")
-    gone = F.col("_removed").isNotNull() & F.col("_long") & F.coalesce(F.col("_out"), F.lit("")).eqNullSafe("")
-    text = F.when(F.col("_removed").isNotNull() & F.col("_long"), F.col("_out")).otherwise(F.col(text_col))
-    return out.where(~gone).withColumn("_text_now", text).select(*[F.col("_text_now").alias(c) if c == text_col else F.length("_text_now").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    changed = F.col("_removed").isNotNull() & F.col("_long")
+    out = out.where(~(changed & (F.coalesce("_out", F.lit("")) == ""))).withColumn("_now", F.when(changed, F.col("_out")).otherwise(F.col("_was")))
+    new = {text_col: F.col("_now"), "n_chars": F.char_length("_now").cast("long")}
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 class Automaton:
