@@ -174,8 +174,10 @@ def without_passages(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id
     rows = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_was"), (word_count(text) >= window).alias("_long"), ordered_key(F.col(id_col)).alias("_k"), F.xxhash64(filled).alias("_d1"), F.xxhash64(F.lit(7), filled).alias("_d2"))
     out = rows.join(done.unionByName(copies).hint("shuffle_hash"), DOC, "left")
     changed = F.col("_removed").isNotNull() & F.col("_long")
-    out = out.where(~(changed & (F.coalesce("_out", F.lit("")) == ""))).withColumn("_now", F.when(changed, F.col("_out")).otherwise(F.col("_was")))
-    new = {text_col: F.col("_now"), "n_chars": F.char_length("_now").cast("long")}
+    out = out.where(~F.coalesce(changed & (F.coalesce("_out", F.lit("")) == ""), F.lit(False))).withColumn("_changed", F.coalesce(changed, F.lit(False)))
+    new = {text_col: F.when(F.col("_changed"), F.col("_out")).otherwise(F.col("_was"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_changed"), F.char_length("_out").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
     return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 

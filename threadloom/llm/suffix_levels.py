@@ -7,8 +7,10 @@ batch becomes a level; it is merged with the levels there are by anchor, which s
 matches between them, and levels of about equal size are merged into one, so that there are
 only logarithmically many and each text is rewritten as often.
 
-Within a batch, suffixes are only kept where an anchor occurs again. Texts that occur several
-times are told by digests: all of their passages repeat.
+A passage around an anchor has 168 bytes before it or 232 from it on, so each anchor has two
+keys, of the 232 bytes on either side: lines that are everywhere but shorter than that have no
+key twice. Within a batch, suffixes are only kept where a key occurs again, and equal ones of
+a text are one. Texts that occur several times are told by digests: all of their passages repeat.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._anchors import DOC, classes, hits, keyed, shared_anchors, signed, window_anchors, with_texts
+from ._anchors import CHUNK, DOC, classes, grams, hits, keyed, mixed, shared_anchors, signed, window_anchors, with_texts
 from ._shared import fresh_folder, staged
 
-#: Bytes of an anchor's hash; occurrences up to which an anchor's suffixes are compared in one
-#: task: those of others are compared window by window, in as many tasks as there are.
+#: Bytes of an anchor's hash; suffixes of a key up to which they are compared in one task: those
+#: of others are compared window by window, in as many tasks as there are.
 GRAM, TOGETHER = 64, 4096
-SUFFIX = "_anchor long, _k long, _d1 long, _d2 long, _at long, _from int, _bytes binary"
+SUFFIX = "_anchor long, _k long, _d1 long, _d2 long, _at long, _from long, _bytes binary, _places array<long>"
 _values = np.random.default_rng(20).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -36,16 +38,33 @@ def symbols(text: str) -> tuple[bytes, np.ndarray]:
     return data, _values[np.frombuffer(data, np.uint8)]
 
 
+def side_keys(x: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(side, places, keys) of the anchors of x: side 0 has more than half of what a window of n
+    has besides the anchor before it, side 1 from it on. A place may come several times."""
+    half = (n - GRAM) // 2
+    size = n - half  # bytes that all windows of a side share
+    for first in range(0, len(x) - n + 1, CHUNK):
+        part = x[first : first + CHUNK + n - 1]
+        h = grams(part, GRAM)
+        for _, p, _ in window_anchors(part, GRAM, n):
+            p = np.unique(p)
+            for side, start in ((0, p - half), (1, p)):
+                there = (start >= 0) & (start + size <= len(part))
+                at = start[there]
+                key = h[at] * np.uint64(0xC2B2AE3D27D4EB4F)
+                for more in [*range(GRAM, size - GRAM, GRAM), size - GRAM]:
+                    key = mixed(key + h[at + more])
+                yield side, p[there] + first, signed(mixed(key + np.uint64(side)))
+
+
 def _anchors(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, found, times = batch.slice(at, 256), [], []
                 for text in part.column("_text"):
-                    places: dict[int, int] = {}
-                    for _, p, h in window_anchors(symbols(text.as_py())[1], GRAM, n):
-                        places.update(zip(p.tolist(), signed(h).tolist()))
-                    own, count = np.unique(np.fromiter(places.values(), np.int64, len(places)), return_counts=True)
+                    keys = [k for _, _, k in side_keys(symbols(text.as_py())[1], n)]
+                    own, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
                     found.append(own)
                     times.append(count)
                 rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
@@ -55,22 +74,26 @@ def _anchors(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
 
 def _suffixes(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The suffixes at anchors that are in _hits, with up to n - GRAM bytes before and n after."""
+    """The suffixes at keys that are in _hits, with as many bytes before and after as the windows
+    of the key's side can have. Equal ones of a text are one row with all of their places."""
+    reach, half = n - GRAM, (n - GRAM) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 data, x = symbols(batch.column("_text")[i].as_py())
-                wanted = set(batch.column("_hits")[i].as_py())
-                places: dict[int, int] = {}
-                for _, p, h in window_anchors(x, GRAM, n):
-                    places.update(zip(p.tolist(), signed(h).tolist()))
-                own = [(p, h) for p, h in sorted(places.items()) if h in wanted]
-                one = [batch.column(c)[i].as_py() for c in DOC]
-                for at in range(0, len(own), 4096):
-                    some = own[at : at + 4096]
-                    starts = [max(0, p - (n - GRAM)) for p, _ in some]
-                    yield pa.record_batch([pa.array([h for _, h in some], pa.int64()), *(pa.array([v] * len(some), pa.int64()) for v in one), pa.array([p for p, _ in some], pa.int64()), pa.array(starts, pa.int32()), pa.array([data[s : p + n] for s, (p, _) in zip(starts, some)], pa.binary())], ["_anchor", *DOC, "_at", "_from", "_bytes"])
+                wanted = np.sort(np.asarray(batch.column("_hits")[i].as_py(), np.int64))
+                own: dict[tuple[int, int, bytes], set[int]] = {}
+                for side, p, key in side_keys(x, n):
+                    near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                    for at, k in zip(p[wanted[near] == key].tolist(), key[wanted[near] == key].tolist()):
+                        start = max(0, at - (half - 1 if side else reach))
+                        own.setdefault((k, at - start, data[start : at + (n if side else n - half)]), set()).add(at)
+                one, rows = [batch.column(c)[i].as_py() for c in DOC], list(own.items())
+                for a in range(0, len(rows), 2048):
+                    some = rows[a : a + 2048]
+                    places = [sorted(v) for _, v in some]
+                    yield pa.record_batch([pa.array([k for (k, _, _), _ in some], pa.int64()), *(pa.array([v] * len(some), pa.int64()) for v in one), pa.array([v[0] for v in places], pa.int64()), pa.array([v[0] - lead for v, ((_, lead, _), _) in zip(places, some)], pa.int64()), pa.array([b for (_, _, b), _ in some], pa.binary()), pa.array(places, pa.list_(pa.int64()))], ["_anchor", *DOC, "_at", "_from", "_bytes", "_places"])
 
     return run
 
@@ -93,27 +116,40 @@ def window_rows(anchor: np.ndarray, at: np.ndarray, start: np.ndarray, data: lis
     return row, reach - col, hashes[row, col] ^ (anchor.view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15)) + (col.astype(np.uint64) << np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
 
 
+RUNS = "_k long, _d1 long, _d2 long, _first long, _last long"
+
+
+def _runs(t: pa.Table, row: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+    """Of windows that repeat, by suffix and place before its anchor: runs of consecutive starts, at all places of the suffix."""
+    order = np.lexsort((-before, row))
+    row, start = row[order], -before[order]
+    cut = np.ones(len(row), bool)
+    cut[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(row)) - 1 if len(first) else first
+    places = t.column("_places").combine_chunks().take(pa.array(row[first].astype(np.int64)))
+    many = np.asarray([len(x) for x in places.to_pylist()], np.int64)
+    at = np.asarray(places.flatten().to_numpy(zero_copy_only=False), np.int64)
+    took = pa.array(np.repeat(row[first], many).astype(np.int64))
+    return pa.record_batch([*(t.column(c).combine_chunks().take(took) for c in DOC), pa.array(at + np.repeat(start[first], many)), pa.array(at + np.repeat(start[last], many))], [*DOC, "_first", "_last"])
+
+
+def _windows_of(t: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    anchor, at, start = (t.column(c).to_numpy() for c in ("_anchor", "_at", "_from"))
+    return (anchor, *window_rows(anchor, at, start, t.column("_bytes").to_pylist(), n))
+
+
 def _merge(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Suffixes in order of anchors -> DOC and _starts of windows that occur elsewhere too. Whole
-    anchors are compared at a time: what a batch cuts off waits for the next."""
+    """Suffixes in order of keys -> RUNS of windows that occur elsewhere too. Whole keys are
+    compared at a time: what a batch cuts off waits for the next."""
 
     def compare(t: pa.Table) -> pa.RecordBatch:
-        anchor, at, start = (t.column(c).to_numpy() for c in ("_anchor", "_at", "_from"))
-        row, before, h = window_rows(anchor, at, start.astype(np.int64), t.column("_bytes").to_pylist(), n)
+        anchor, row, before, h = _windows_of(t, n)
         order = np.lexsort((before, h))
-        same = np.zeros(len(h), bool)
+        same = np.asarray([len(x) > 1 for x in t.column("_places").to_pylist()], bool)[row]
         equal = (h[order][1:] == h[order][:-1]) & (before[order][1:] == before[order][:-1]) & (anchor[row[order]][1:] == anchor[row[order]][:-1])
         same[order[1:][equal]] = same[order[:-1][equal]] = True
-        row, place = row[same], at[row[same]] - before[same]
-        order = np.lexsort((place, row))
-        row, place = row[order], place[order]
-        # Runs of consecutive windows: first and last start.
-        cut = np.ones(len(row), bool)
-        cut[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
-        first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(row)) - 1 if len(first) else first
-        took = pa.array(row[first] if len(first) else np.zeros(0, np.int64))
-        return pa.record_batch([*(t.column(c).combine_chunks().take(took) for c in DOC), pa.array(place[first], pa.int64()), pa.array(place[last], pa.int64())], [*DOC, "_first", "_last"])
+        return _runs(t, row[same], before[same])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -135,14 +171,27 @@ def _merge(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return run
 
 
+def _whole(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """RUNS of all windows of suffixes that are known to occur elsewhere, whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                t = pa.Table.from_batches([batch.slice(i, 256)])
+                _, row, before, _ = _windows_of(t, n)
+                yield _runs(t, row, before)
+
+    return run
+
+
 def _every_window(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                t = batch.slice(i, 256)
-                anchor, at, start = (t.column(c).to_numpy() for c in ("_anchor", "_at", "_from"))
-                row, before, h = window_rows(anchor, at, start.astype(np.int64), t.column("_bytes").to_pylist(), n)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(anchor[row]), *(t.column(c).take(pa.array(row)) for c in DOC), pa.array(at[row] - before)], ["_window", "_anchor", *DOC, "_first"])
+                t = pa.Table.from_batches([batch.slice(i, 256)])
+                anchor, row, before, h = _windows_of(t, n)
+                took = pa.array(row.astype(np.int64))
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(anchor[row]), *(t.column(c).combine_chunks().take(took) for c in DOC), pa.array(t.column("_at").to_numpy()[row] - before)], ["_window", "_anchor", *DOC, "_first"])
 
     return run
 
@@ -175,17 +224,25 @@ class Levels:
         rows = self._read(self.levels[0][1])
         for _, name in self.levels[1:]:
             rows = rows.unionByName(self._read(name))
-        counts = rows.groupBy("_anchor").agg(F.count("*").alias("_n"))
-        many = counts.where(F.col("_n") > TOGETHER).select("_anchor")
-        few = counts.where(f"_n > 1 and _n <= {TOGETHER}").select("_anchor")
-        met = rows.join(few, "_anchor", "left_semi")
-        parts = max(1, met.sparkSession.conf.get("spark.sql.shuffle.partitions") and int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        runs = met.repartition(parts, "_anchor").sortWithinPartitions("_anchor").mapInArrow(_merge(self.n), "_k long, _d1 long, _d2 long, _first long, _last long")
-        if many.isEmpty():
-            return runs
-        windows = staged(rows.join(many, "_anchor", "left_semi").mapInArrow(_every_window(self.n), "_window long, _anchor long, _k long, _d1 long, _d2 long, _first long"), "hot-windows")
+        counts = staged(rows.groupBy("_anchor").agg(F.count("*").alias("_n"), F.max(F.size("_places")).alias("_most")).where("_n > 1 or _most > 1"), "keys")
+        few, many = (counts.where(w).select("_anchor") for w in (f"_n <= {TOGETHER}", f"_n > {TOGETHER}"))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        met = rows.join(few, "_anchor", "left_semi").repartition(parts, "_anchor").sortWithinPartitions("_anchor")
+        runs = met.mapInArrow(_merge(self.n), RUNS)
+        return runs if many.isEmpty() else runs.unionByName(self._hot(rows.join(many, "_anchor", "left_semi")))
+
+    def _hot(self, rows: DataFrame) -> DataFrame:
+        """RUNS among suffixes of keys with very many: equal suffixes are told by digests, and of
+        different ones the windows are counted by hash, so that no key is in one task."""
+        same = ["_anchor", "_lead", "_b1", "_b2"]
+        rows = rows.withColumn("_lead", F.col("_at") - F.col("_from")).withColumn("_b1", F.xxhash64("_bytes")).withColumn("_b2", F.xxhash64(F.lit(7), "_bytes"))
+        groups = staged(rows.groupBy(*same).agg(F.sum(F.size("_places")).alias("_n"), F.min(F.struct(*DOC, "_at")).alias("_one")), "equal-suffixes")
+        names = self.spark.createDataFrame([], SUFFIX).columns
+        whole = rows.join(groups.where("_n > 1"), same).select(*names).mapInArrow(_whole(self.n), RUNS)
+        ones = rows.join(groups, same).where(F.struct(*DOC, "_at") == F.col("_one")).select(*names)
+        windows = staged(ones.mapInArrow(_every_window(self.n), "_window long, _anchor long, _k long, _d1 long, _d2 long, _first long"), "hot-windows")
         again = windows.groupBy("_window", "_anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("_window", "_anchor")
-        return runs.unionByName(windows.join(again, ["_window", "_anchor"]).select(*DOC, "_first", F.col("_first").alias("_last")))
+        return whole.unionByName(windows.join(again, ["_window", "_anchor"]).select(*DOC, "_first", F.col("_first").alias("_last")))
 
 
 def _removed(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -208,7 +265,7 @@ def _removed(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
 
 def batch_suffixes(base: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """A batch's level: the suffixes at anchors that occur again within it."""
+    """A batch's level: the suffixes at keys that occur again within it."""
     anchors = staged(base.select(*DOC, "_text").mapInArrow(_anchors(n), "_anchor long, _k long, _d1 long, _d2 long, _times long"), "anchors")
     found = hits(anchors, shared_anchors(anchors, within=True), texts, F.col("_anchor"))
     return with_texts(base, found).mapInArrow(_suffixes(n), SUFFIX)
@@ -223,6 +280,8 @@ def repeat_digests(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
     repeated rows are texts that occur again. An empty table gives no rows; other columns are
     ignored. Texts of any length are handled whole; matches never cross rows.
     """
+    if length < 2 * GRAM:
+        raise ValueError(f"a passage has at least {2 * GRAM} bytes")
     base = keyed(docs, id_col, text_col)
     texts = staged(classes(base), "texts")
     family = Levels(docs.sparkSession, length)
