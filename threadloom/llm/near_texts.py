@@ -7,9 +7,11 @@ at a Jaccard similarity of 0.8, all keys differ with a chance of about 3e-8.
 
 Texts that share a key are compared with the smallest id there, and linked if at least 0.8 of
 their k-mers are common and an alignment within a band finds an edit similarity of 0.8 or more.
-While texts of a key aren't all one group, others of them serve as pivots too, more each time,
-so no pair is lost and no group of copies is ever compared all with all. Equal texts (by their
-words) are one text from the start.
+While texts of a key aren't all one group, others of them serve as pivots too, PIVOTS times as
+many each time, until all have been: so no pair of different groups is left out, and a group of
+copies is never compared all with all. What can't be alike isn't compared: pairs whose numbers
+of k-mers differ too much, and texts of which too many k-mers are in no other text that is left.
+Equal texts (by their words) are one text from the start.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from ._graph import components
 from ._shared import GAP, ordered_key, staged
 from .substrings import FIND, symbols
 
-#: Words of a k-mer, hash functions, k-mers of a key, and the similarity from which texts are linked.
-KMER, BANDS, LENGTH, ALIKE = 5, 24, 3, 0.8
+#: Words of a k-mer, hash functions, k-mers of a key, and the similarity from which texts are linked;
+#: by how much the pivots of a key grow from round to round.
+KMER, BANDS, LENGTH, ALIKE, PIVOTS = 5, 24, 3, 0.8, 16
 _SEEDS = np.random.default_rng(50).integers(1 << 63, size=(2, BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -119,9 +122,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            keys = [order_min_hash(labelled(kmers(FIND(t.as_py())))) for t in part.column("_text")]
+            grams = [labelled(kmers(FIND(t.as_py()))) for t in part.column("_text")]
+            keys = [order_min_hash(g) for g in grams]
             sizes = np.cumsum([0] + [len(k) for k in keys])
-            yield pa.record_batch([*(part.column(c) for c in DOC), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(keys)))], [*DOC, "_keys"])
+            yield pa.record_batch([*(part.column(c) for c in DOC), pa.array([len(g) for g in grams], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(keys)))], [*DOC, "_n", "_keys"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,31 +158,75 @@ def text_classes(base: DataFrame) -> DataFrame:
     first = base.groupBy("_d1", "_d2").agg(F.min("_k").alias("_k"))
     # One id may have several texts: each text is known by a number of its own, in the ids' order.
     first = staged(first.withColumn("_n", F.count("*").over(_by_id())), "first")
-    sketches = staged(base.select(*DOC, "_text").mapInArrow(_sketch, "_k long, _d1 long, _d2 long, _keys array<long>").join(first.where("_n = 1"), DOC, "left_semi").dropDuplicates(DOC), "sketches")
-    keys = sketches.select("_k", F.explode("_keys").alias("_key"))
-    full = keys.groupBy("_key").agg(F.min("_k").alias("_pivot"), F.max("_k").alias("_other")).where("_pivot < _other").drop("_other")
-    members = staged(keys.join(full, "_key"), "members")
-    involved = members.select("_k").distinct()
-    texts = staged(with_texts(base, first.join(involved, "_k", "left_semi").select(*DOC)).select("_k", "_text").dropDuplicates(["_k"]), "candidates")
-
-    pairs = staged(members.where("_k <> _pivot").select(F.col("_pivot").alias("a"), F.col("_k").alias("b")).distinct(), "pairs")
-    known = _pairs_linked(pairs, texts)
-    used, pivots = members.select("_key", "_pivot").distinct().withColumnRenamed("_pivot", "_k"), 1
+    sketches = staged(base.select(*DOC, "_text").mapInArrow(_sketch, "_k long, _d1 long, _d2 long, _n long, _keys array<long>").join(first.where("_n = 1").drop("_n"), DOC, "left_semi").dropDuplicates(DOC), "sketches")
+    keys = sketches.select("_k", "_n", F.explode("_keys").alias("_key"))
+    full = keys.groupBy("_key").agg(F.min(F.struct("_k", "_n")).alias("_least"), F.max("_k").alias("_other")).where("_least._k < _other")
+    members = staged(keys.join(full.select("_key", F.col("_least._k").alias("_p"), F.col("_least._n").alias("_pn")), "_key"), "members")
+    labels = staged(members.select("_k").distinct().withColumn("_c", F.col("_k")), "groups")
+    texts = staged(with_texts(base, first.join(labels, "_k", "left_semi").select(*DOC)).select("_k", "_text").dropDuplicates(["_k"]), "candidates")
+
+    close = (F.least("_n", "_pn") >= ALIKE * F.greatest("_n", "_pn")) & (F.col("_k") != F.col("_p"))
+    ends = [F.least("_k", "_p").alias("a"), F.greatest("_k", "_p").alias("b")]
+    used, pivots = members.select("_key", F.col("_p").alias("_k")).distinct(), 1
+    known = _pairs_linked(staged(members.where(close).select(*ends).distinct(), "pairs"), texts)
+    labels = _joined(labels, known)
+    left = _unresolved(members.select("_key", "_k", "_n"), labels)
+    if left.isEmpty():
+        return _classes_of(first, labels)
+    left = staged(left.join(_viable(left, texts), "_k", "left_semi").drop("_c"), "viable")
     while True:
-        labels = components(known.where("linked").select("a", "b"))
-        grouped = members.select("_key", "_k").join(labels.withColumnRenamed("id", "_k"), "_k", "left").withColumn("component_id", F.coalesce("component_id", "_k"))
-        split = grouped.groupBy("_key").agg(F.min("component_id").alias("_c"), F.max("component_id").alias("_e")).where("_c < _e").select("_key")
-        open_ = staged(grouped.join(split, "_key", "left_semi"), "open")
-        pivots *= 2
-        new = staged(open_.join(used, ["_key", "_k"], "left_anti").groupBy("_key", F.pmod(F.xxhash64("_k"), F.lit(pivots)).alias("_p")).agg(F.min(F.struct("_k", "component_id")).alias("_x")).select("_key", F.col("_x._k").alias("_p"), F.col("_x.component_id").alias("_pc")), "pivots")
+        open_ = _unresolved(left, labels)
+        pivots *= PIVOTS
+        new = open_.join(used, ["_key", "_k"], "left_anti").groupBy("_key", F.pmod(F.xxhash64("_k"), F.lit(pivots)).alias("_slot")).agg(F.min(F.struct("_k", "_n", "_c")).alias("_x"))
+        new = staged(new.select("_key", F.col("_x._k").alias("_p"), F.col("_x._n").alias("_pn"), F.col("_x._c").alias("_pc")), "pivots")
         if new.isEmpty():
             break
-        ends = open_.join(new, "_key").where("component_id <> _pc and _k <> _p").select(F.least("_k", "_p").alias("a"), F.greatest("_k", "_p").alias("b")).distinct()
-        more = staged(ends.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        used = staged(used.unionByName(new.select("_key", F.col("_p").alias("_k"))), "used")
-        if not more.isEmpty():
-            known = staged(known.unionByName(_pairs_linked(more, texts)), "known")
-    return first.join(labels.withColumnRenamed("id", "_k"), "_k", "left").select("_d1", "_d2", F.coalesce("component_id", "_k").alias("_class"))
+        used = used.unionByName(new.select("_key", F.col("_p").alias("_k")))
+        pairs = staged(open_.join(new, "_key").where(close & (F.col("_c") != F.col("_pc"))).select(*ends).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        more = _pairs_linked(pairs, texts)
+        known = known.unionByName(more)
+        if not more.where("linked").isEmpty():
+            labels = _joined(labels, more)
+    return _classes_of(first, labels)
+
+
+def _classes_of(first: DataFrame, labels: DataFrame) -> DataFrame:
+    return first.join(labels, "_k", "left").select("_d1", "_d2", F.coalesce("_c", "_k").alias("_class"))
+
+
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (_key, _k, _n) with their group _c, of keys whose texts aren't all one group."""
+    grouped = members.join(labels, "_k")
+    split = grouped.groupBy("_key").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y")).where("_x < _y").select("_key")
+    return staged(grouped.join(split, "_key", "left_semi"), "open")
+
+
+def _kmers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, text in zip(batch.column("_k").to_pylist(), batch.column("_text")):
+            grams = labelled(kmers(FIND(text.as_py())))
+            for at in range(0, len(grams), 1 << 16):
+                part = grams[at : at + (1 << 16)]
+                yield pa.record_batch([pa.array(np.full(len(part), k)), pa.array(part.view(np.int64))], ["_k", "_gram"])
+
+
+def _viable(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """_k of the texts of left that can have a partner there: at least ALIKE of their k-mers are in another text too."""
+    sizes = left.select("_k", "_n").distinct()
+    grams = staged(texts.join(sizes.hint("shuffle_hash"), "_k", "left_semi").select("_k", "_text").mapInArrow(_kmers_of, "_k long, _gram long"), "grams")
+    shared = grams.groupBy("_gram").agg(F.min("_k").alias("_x"), F.max("_k").alias("_y")).where("_x < _y").select("_gram")
+    common = grams.join(shared, "_gram", "left_semi").groupBy("_k").agg(F.count("*").alias("_common"))
+    return common.join(sizes, "_k").where(F.col("_common") >= ALIKE * F.col("_n")).select("_k")
+
+
+def _joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """labels (_k, _c) after the groups that linked pairs (a, b) connect have become one."""
+    of = lambda c: labels.select(F.col("_k").alias(c), F.col("_c").alias(f"{c}_c"))
+    edges = pairs.where("linked").join(of("a"), "a").join(of("b"), "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
+    least = components(edges).select(F.col("id").alias("_c"), F.col("component_id").alias("_to"))
+    return staged(labels.join(least, "_c", "left").select("_k", F.coalesce("_to", "_c").alias("_c")), "groups")
 
 
 def _by_id():
