@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from ._anchors import CHUNK, DOC, classes, grams, hits, keyed, mixed, shared_anchors, signed, window_anchors, with_texts
 from ._shared import fresh_folder, staged
 
-#: Bytes of an anchor's hash; suffixes of a key up to which they are compared in one task: those
-#: of others are compared window by window, in as many tasks as there are.
-GRAM, TOGETHER = 64, 4096
+#: Bytes of an anchor's hash; suffixes of a key up to which they are compared in one task; windows
+#: that those of other keys are compared by at a time.
+GRAM, TOGETHER, BLOCK = 64, 4096, 13
 SUFFIX = "_anchor long, _k long, _d1 long, _d2 long, _at long, _from long, _bytes binary, _places array<long>"
 _values = np.random.default_rng(20).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -98,22 +98,33 @@ def _suffixes(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def window_rows(anchor: np.ndarray, at: np.ndarray, start: np.ndarray, data: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of suffixes, every window of n bytes around the anchor: suffix, place before the anchor, hash."""
+def _mixed_with(h: np.ndarray, anchor: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return h ^ (anchor.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + (place.astype(np.uint64) << np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def aligned_sums(t: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, lead, end, sums) of suffixes laid out with their anchors in one column: where their
+    bytes begin and end, and sums whose differences are hashes of ranges. Only ranges of the same
+    columns are compared with each other, so the hashes need no shift."""
     reach = n - GRAM
-    wide = np.zeros((len(data), reach + n), np.uint8)
-    lead, size = reach - (at - start), np.asarray([len(d) for d in data])
+    anchor, at, start = (t.column(c).to_numpy() for c in ("_anchor", "_at", "_from"))
+    data = t.column("_bytes").to_pylist()
+    wide, lead = np.zeros((len(data), reach + n), np.uint8), reach - (at - start)
     for i, d in enumerate(data):
         wide[i, lead[i] : lead[i] + len(d)] = np.frombuffer(d, np.uint8)
     weight = np.random.default_rng(21).integers(1 << 63, size=reach + n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     sums = np.zeros((len(data), reach + n + 1), np.uint64)
     np.cumsum(_values[wide] * weight, axis=1, out=sums[:, 1:])
-    # Windows at one place before the anchor are compared with each other only, so sums need no shift.
-    hashes = sums[:, n:] - sums[:, : reach + 1]
+    return anchor, lead, lead + np.asarray([len(d) for d in data], np.int64), sums
+
+
+def _windows_of(t: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, suffix, place before the anchor, hash) of every window of n bytes around the anchor."""
+    anchor, lead, end, sums = aligned_sums(t, n)
+    reach = n - GRAM
     column = np.arange(reach + 1)
-    inside = (column >= lead[:, None]) & (column + n <= (lead + size)[:, None])
-    row, col = np.nonzero(inside)
-    return row, reach - col, hashes[row, col] ^ (anchor.view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15)) + (col.astype(np.uint64) << np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    row, col = np.nonzero((column >= lead[:, None]) & (column + n <= end[:, None]))
+    return anchor, row, reach - col, _mixed_with(sums[row, col + n] - sums[row, col], anchor[row], col)
 
 
 RUNS = "_k long, _d1 long, _d2 long, _first long, _last long"
@@ -134,11 +145,6 @@ def _runs(t: pa.Table, row: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([*(t.column(c).combine_chunks().take(took) for c in DOC), pa.array(at + np.repeat(start[first], many)), pa.array(at + np.repeat(start[last], many))], [*DOC, "_first", "_last"])
 
 
-def _windows_of(t: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    anchor, at, start = (t.column(c).to_numpy() for c in ("_anchor", "_at", "_from"))
-    return (anchor, *window_rows(anchor, at, start, t.column("_bytes").to_pylist(), n))
-
-
 def _merge(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Suffixes in order of keys -> RUNS of windows that occur elsewhere too. Whole keys are
     compared at a time: what a batch cuts off waits for the next."""
@@ -171,25 +177,47 @@ def _merge(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return run
 
 
-def _whole(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """RUNS of all windows of suffixes that are known to occur elsewhere, whole."""
+BLOCKS = "_anchor long, _block int, _core long, _hull long, _k long, _d1 long, _d2 long, _at long, _first long, _last long"
+
+
+def _blocks(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each BLOCK consecutive windows of a suffix: hashes of the bytes that all of them have,
+    and of those that any has (null unless the suffix has all of the windows)."""
+    reach = n - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 t = pa.Table.from_batches([batch.slice(i, 256)])
-                _, row, before, _ = _windows_of(t, n)
-                yield _runs(t, row, before)
+                anchor, lead, end, sums = aligned_sums(t, n)
+                at = t.column("_at").to_numpy()
+                for block, low in enumerate(range(0, reach + 1, BLOCK)):
+                    high = min(low + BLOCK, reach + 1) - 1  # columns of the first and last window
+                    some = np.flatnonzero((np.maximum(low, lead) <= np.minimum(high, end - n)))
+                    if not len(some):
+                        continue
+                    core = _mixed_with(sums[some, low + n] - sums[some, high], anchor[some], np.full(len(some), block))
+                    hull = _mixed_with(sums[some, high + n] - sums[some, low], anchor[some], np.full(len(some), block))
+                    part = (lead[some] > low) | (end[some] < high + n)
+                    took = pa.array(some.astype(np.int64))
+                    yield pa.record_batch([pa.array(anchor[some]), pa.array(np.full(len(some), block, np.int32)), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64), mask=part), *(t.column(c).combine_chunks().take(took) for c in DOC), pa.array(at[some]), pa.array(at[some] - reach + low), pa.array(at[some] - reach + high)], [c.split()[0] for c in BLOCKS.split(", ")])
 
     return run
 
 
-def _every_window(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _some_windows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The windows of the blocks in _wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 t = pa.Table.from_batches([batch.slice(i, 256)])
                 anchor, row, before, h = _windows_of(t, n)
+                wanted = np.zeros((t.num_rows, (n - GRAM) // BLOCK + 1), bool)
+                for r, blocks in enumerate(t.column("_wanted").to_pylist()):
+                    wanted[r, blocks] = True
+                keep = wanted[row, (n - GRAM - before) // BLOCK]
+                row, before, h = row[keep], before[keep], h[keep]
                 took = pa.array(row.astype(np.int64))
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(anchor[row]), *(t.column(c).combine_chunks().take(took) for c in DOC), pa.array(t.column("_at").to_numpy()[row] - before)], ["_window", "_anchor", *DOC, "_first"])
 
@@ -232,17 +260,27 @@ class Levels:
         return runs if many.isEmpty() else runs.unionByName(self._hot(rows.join(many, "_anchor", "left_semi")))
 
     def _hot(self, rows: DataFrame) -> DataFrame:
-        """RUNS among suffixes of keys with very many: equal suffixes are told by digests, and of
-        different ones the windows are counted by hash, so that no key is in one task."""
-        same = ["_anchor", "_lead", "_b1", "_b2"]
-        rows = rows.withColumn("_lead", F.col("_at") - F.col("_from")).withColumn("_b1", F.xxhash64("_bytes")).withColumn("_b2", F.xxhash64(F.lit(7), "_bytes"))
-        groups = staged(rows.groupBy(*same).agg(F.sum(F.size("_places")).alias("_n"), F.min(F.struct(*DOC, "_at")).alias("_one")), "equal-suffixes")
+        """RUNS among suffixes of keys with very many, with no key in one task: equal suffixes are told by
+        digests; of different ones, BLOCK windows at a time by the bytes they share and span; and window
+        by window only in blocks of which suffixes share the one and differ in the other."""
+        same, row = ["_anchor", "_lead", "_b1", "_b2"], ["_anchor", *DOC, "_at"]
+        light = rows.select(*row, "_places", (F.col("_at") - F.col("_from")).alias("_lead"), F.octet_length("_bytes").alias("_size"), F.xxhash64("_bytes").alias("_b1"), F.xxhash64(F.lit(7), "_bytes").alias("_b2"))
+        light = staged(light, "hot-suffixes")  # without the bytes, which only one of equal ones is compared by
+        groups = staged(light.groupBy(*same).agg(F.sum(F.size("_places")).alias("_n"), F.min(F.struct(*DOC, "_at")).alias("_one")), "equal-suffixes")
+        starts = light.join(groups.where("_n > 1").drop("_one"), same).select(*DOC, "_lead", "_size", F.explode("_places").alias("_p"))
+        whole = starts.where(F.col("_size") >= self.n).select(*DOC, (F.col("_p") - F.col("_lead")).alias("_first"), (F.col("_p") - F.col("_lead") + F.col("_size") - self.n).alias("_last"))
         names = self.spark.createDataFrame([], SUFFIX).columns
-        whole = rows.join(groups.where("_n > 1"), same).select(*names).mapInArrow(_whole(self.n), RUNS)
-        ones = rows.join(groups, same).where(F.struct(*DOC, "_at") == F.col("_one")).select(*names)
-        windows = staged(ones.mapInArrow(_every_window(self.n), "_window long, _anchor long, _k long, _d1 long, _d2 long, _first long"), "hot-windows")
+        ones = staged(rows.join(groups.select("_anchor", "_one.*"), row, "left_semi").select(*names), "different-suffixes")
+        blocks = staged(ones.mapInArrow(_blocks(self.n), BLOCKS), "blocks")
+        key = ["_anchor", "_block", "_core"]
+        alike = blocks.groupBy(*key).agg(F.count("*").alias("_n"), F.count("_hull").alias("_hulls"), F.min("_hull").alias("_x"), F.max("_hull").alias("_y")).where("_n > 1")
+        alike = staged(alike.select(*key, ((F.col("_hulls") == F.col("_n")) & (F.col("_x") == F.col("_y"))).alias("_equal")), "alike-blocks")
+        equal = blocks.join(alike.where("_equal"), key).select(*DOC, "_first", "_last")
+        wanted = blocks.join(alike.where("not _equal"), key).groupBy(*row).agg(F.collect_set("_block").alias("_wanted"))
+        windows = ones.join(wanted.hint("shuffle_hash"), row).select(*names, "_wanted").mapInArrow(_some_windows(self.n), "_window long, _anchor long, _k long, _d1 long, _d2 long, _first long")
+        windows = staged(windows, "hot-windows")
         again = windows.groupBy("_window", "_anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("_window", "_anchor")
-        return whole.unionByName(windows.join(again, ["_window", "_anchor"]).select(*DOC, "_first", F.col("_first").alias("_last")))
+        return whole.unionByName(equal).unionByName(windows.join(again, ["_window", "_anchor"]).select(*DOC, "_first", F.col("_first").alias("_last")))
 
 
 def _removed(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
