@@ -134,7 +134,8 @@ def test_token_counts(spark, docs, tmp_path):
     for _ in range(2):  # the second time all counts come from the cache
         assert multiset(token_counts.count_tokens(docs, cache_path=cache).collect()) == multiset(want)
     held = spark.read.parquet(cache)
-    assert held.count() == held.select("content").distinct().count() == len({t or "" for _, t, *_ in awkward()})
+    assert held.select("content").distinct().count() == len({t or "" for _, t, *_ in awkward()})
+    assert held.count() <= len(awkward()) - 3, "of copies only one is encoded, unless they are repeated rows"
     token_counts.count_tokens(docs, cache_path=cache, tokenizer="word_bpe_49k.json").collect()
     assert spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
     assert token_counts.count_tokens(empty(spark)).count() == 0
