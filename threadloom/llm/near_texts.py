@@ -11,7 +11,7 @@ While texts of a key aren't all one group, others of them serve as pivots too, P
 many each time, until all have been: so no pair of different groups is left out, and a group of
 copies is never compared all with all. What can't be alike isn't compared: pairs whose numbers
 of k-mers differ too much, and texts of which too many k-mers are in no other text that is left.
-Equal texts (by their words) are one text from the start.
+Equal texts are one text from the start.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import DOC, mixed, with_texts
 from ._graph import components
-from ._shared import GAP, ordered_key, staged
+from ._shared import WORD, ordered_key, staged
 from .substrings import FIND, symbols
 
 #: Words of a k-mer, hash functions, k-mers of a key, and the similarity from which texts are linked;
@@ -146,11 +146,15 @@ def _pairs_linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return staged(pairs.join(of("a", "_ta"), "a").join(of("b", "_tb"), "b").mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
 
 
-def word_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _k, _d1 and _d2 (128 bits of the words) and _text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = F.regexp_replace(F.regexp_replace(text, rf"\A{GAP}|{GAP}\z", ""), GAP, " ")
-    return docs.select(F.col(id_col).alias("_id"), ordered_key(F.col(id_col)).alias("_k"), F.xxhash64(plain).alias("_d1"), F.xxhash64(F.lit(7), plain).alias("_d2"), text.alias("_text"))
+def _plain(text_col: str) -> Column:
+    """The text, or the empty one if it has no words."""
+    return F.when(F.col(text_col).rlike(WORD), F.col(text_col)).otherwise(F.lit(""))
+
+
+def text_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _k, _d1 and _d2 (128 bits of the text) and _text."""
+    text = _plain(text_col)
+    return docs.select(F.col(id_col).alias("_id"), ordered_key(F.col(id_col)).alias("_k"), F.xxhash64(text).alias("_d1"), F.xxhash64(F.lit(7), text).alias("_d2"), text.alias("_text"))
 
 
 def text_classes(base: DataFrame) -> DataFrame:
@@ -213,12 +217,15 @@ def _kmers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _viable(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """_k of the texts of left that can have a partner there: at least ALIKE of their k-mers are in another text too."""
-    sizes = left.select("_k", "_n").distinct()
+    """_k of the texts of left that can have a partner there. Alike texts of n and m k-mers have
+    ALIKE / (1 + ALIKE) * (n + m) of them in common, where m is at least ALIKE * n and the least of
+    any text that shares a key; so many of a text's k-mers must be in some other text too."""
+    least = left.join(left.groupBy("_key").agg(F.min("_n").alias("_m")), "_key").groupBy("_k", "_n").agg(F.min("_m").alias("_m"))
+    sizes = staged(least.select("_k", (ALIKE / (1 + ALIKE) * (F.col("_n") + F.greatest("_m", ALIKE * F.col("_n"))) - 1e-6).alias("_needed")), "needed")
     grams = staged(texts.join(sizes.hint("shuffle_hash"), "_k", "left_semi").select("_k", "_text").mapInArrow(_kmers_of, "_k long, _gram long"), "grams")
     shared = grams.groupBy("_gram").agg(F.min("_k").alias("_x"), F.max("_k").alias("_y")).where("_x < _y").select("_gram")
     common = grams.join(shared, "_gram", "left_semi").groupBy("_k").agg(F.count("*").alias("_common"))
-    return common.join(sizes, "_k").where(F.col("_common") >= ALIKE * F.col("_n")).select("_k")
+    return common.join(sizes, "_k").where("_common >= _needed").select("_k")
 
 
 def _joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -238,12 +245,12 @@ def _by_id():
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id_col, class_id (the smallest id of its group), kept (id_col = class_id).
 
-    Null and empty texts are equal texts, and texts of up to four words are near copies only if
+    Texts without words, null ones too, are equal; texts of up to four words are near copies only if their words are
     equal. A null id counts as larger than all others and has a null class if all of its group
     are null. Of an id with several texts, each takes part in groups of equal texts only.
     Repeated rows are kept as they are; an empty table gives no rows; other columns are ignored.
     """
-    base = word_keys(docs, id_col, text_col)
+    base = text_keys(docs, id_col, text_col)
     of = staged(text_classes(base), "text-classes")
     out = base.select("_id", "_d1", "_d2").join(of, ["_d1", "_d2"])
     klass = F.when(F.col("_class") < F.lit(2**63 - 1), F.col("_class"))
@@ -252,14 +259,13 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group, that with the smallest id; repeated rows once."""
-    base = word_keys(docs, id_col, text_col)
+    base = text_keys(docs, id_col, text_col)
     of = text_classes(base)
     # The text to keep of each group: the one whose first id is the class's.
     chosen = base.select(*DOC).distinct().join(of, ["_d1", "_d2"]).where("_k = _class").groupBy("_class").agg(F.min(F.struct(*DOC)).alias("_x")).select("_x.*")
     chosen = staged(chosen, "chosen")
     copies = base.select(*DOC).groupBy(*DOC).agg(F.count("*").alias("_rows")).where("_rows > 1").join(chosen, DOC, "left_semi").select(*DOC)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = F.regexp_replace(F.regexp_replace(text, rf"\A{GAP}|{GAP}\z", ""), GAP, " ")
+    plain = _plain(text_col)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), ordered_key(F.col(id_col)).alias("_k"), F.xxhash64(plain).alias("_d1"), F.xxhash64(F.lit(7), plain).alias("_d2")).join(chosen.hint("shuffle_hash"), DOC, "left_semi")
     copies = staged(copies, "repeated-rows")
     if not copies.isEmpty():
