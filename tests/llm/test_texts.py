@@ -190,6 +190,24 @@ def test_near_chain(spark):
     assert set(got.values()) == {89}
 
 
+def test_near_copies_share_ids(spark):
+    """Different texts without an id, or with the same one, are each compared with all others, and none is lost."""
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"]
+    near = lambda t: t.replace("30 ", "new ", 1)
+    a, b, c, d, e, f, g = texts
+    rows = [(None, a), (None, b), (None, near(b)), (None, c), (7, d), (7, e), (7, f), (8, near(e)), (9, near(c)), (10, near(f)), (11, g), (7, near(d))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_texts.near_copies(docs.repartition(3))
+    want = [None, None, None, 9, 7, 7, 7, 7, 9, 7, 11, 7]
+    assert sorted(map(repr, ((r["doc_id"], r["class_id"]) for r in got.collect()))) == sorted(repr((i, k)) for (i, _), k in zip(rows, want))
+    kept = [(r["doc_id"], r["text"]) for r in near_texts.without_near_copies(docs.repartition(3)).collect()]
+    assert len(kept) == 7 and set(kept) <= set(rows)
+    for one in [(None, a), (9, near(c)), (7, e), (7, f), (11, g)]:
+        assert one in kept
+    for some in ({(None, b), (None, near(b))}, {(7, d), (7, near(d))}):
+        assert len(some & set(kept)) == 1
+
+
 def test_alignment():
     rng = random.Random(2)
 

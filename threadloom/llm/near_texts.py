@@ -5,7 +5,8 @@ a multiset. Each of BANDS hash functions picks the LENGTH smallest and keeps the
 of the text; their hash is a key. Texts alike in their k-mers' set and order share some key:
 at a Jaccard similarity of 0.8, all keys differ with a chance of about 3e-8.
 
-Texts that share a key are compared with the smallest id there, and linked if at least 0.8 of
+Texts are numbered in the order of their ids. Those that share a key are compared with the first
+there, and linked if at least 0.8 of
 their k-mers are common and an alignment within a band finds an edit similarity of 0.8 or more.
 While texts of a key aren't all one group, others of them serve as pivots too, PIVOTS times as
 many each time, until all have been: so no pair of different groups is left out, and a group of
@@ -142,7 +143,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs_linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, linked of pairs (a, b)."""
-    of = lambda c, t: texts.select(F.col("_k").alias(c), F.col("_text").alias(t))
+    of = lambda c, t: texts.select(F.col("_t").alias(c), F.col("_text").alias(t))
     return staged(pairs.join(of("a", "_ta"), "a").join(of("b", "_tb"), "b").mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
 
 
@@ -157,35 +158,35 @@ def text_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), ordered_key(F.col(id_col)).alias("_k"), F.xxhash64(text).alias("_d1"), F.xxhash64(F.lit(7), text).alias("_d2"), text.alias("_text"))
 
 
-def text_classes(base: DataFrame) -> DataFrame:
-    """_d1, _d2, _class: for each different text the smallest id of its group of near copies."""
+def text_groups(base: DataFrame) -> DataFrame:
+    """DOC of each different text's smallest id, _t (the text's number) and _c (the least number of its group of near copies)."""
     first = base.groupBy("_d1", "_d2").agg(F.min("_k").alias("_k"))
-    # One id may have several texts: each text is known by a number of its own, in the ids' order.
-    first = staged(first.withColumn("_n", F.count("*").over(_by_id())), "first")
-    sketches = staged(base.select(*DOC, "_text").mapInArrow(_sketch, "_k long, _d1 long, _d2 long, _n long, _keys array<long>").join(first.where("_n = 1").drop("_n"), DOC, "left_semi").dropDuplicates(DOC), "sketches")
-    keys = sketches.select("_k", "_n", F.explode("_keys").alias("_key"))
-    full = keys.groupBy("_key").agg(F.min(F.struct("_k", "_n")).alias("_least"), F.max("_k").alias("_other")).where("_least._k < _other")
-    members = staged(keys.join(full.select("_key", F.col("_least._k").alias("_p"), F.col("_least._n").alias("_pn")), "_key"), "members")
-    labels = staged(members.select("_k").distinct().withColumn("_c", F.col("_k")), "groups")
-    texts = staged(with_texts(base, first.join(labels, "_k", "left_semi").select(*DOC)).select("_k", "_text").dropDuplicates(["_k"]), "candidates")
-
-    close = (F.least("_n", "_pn") >= ALIKE * F.greatest("_n", "_pn")) & (F.col("_k") != F.col("_p"))
-    ends = [F.least("_k", "_p").alias("a"), F.greatest("_k", "_p").alias("b")]
-    used, pivots = members.select("_key", F.col("_p").alias("_k")).distinct(), 1
+    # One id, or none, may have several texts: each has a number of its own, in the ids' order.
+    first = staged(first.orderBy(*DOC).select(*DOC, F.monotonically_increasing_id().alias("_t")), "first")
+    sketches = staged(base.select(*DOC, "_text").mapInArrow(_sketch, "_k long, _d1 long, _d2 long, _n long, _keys array<long>").join(first, DOC).select("_t", "_n", "_keys").dropDuplicates(["_t"]), "sketches")
+    keys = sketches.select("_t", "_n", F.explode("_keys").alias("_key"))
+    full = keys.groupBy("_key").agg(F.min(F.struct("_t", "_n")).alias("_least"), F.max("_t").alias("_other")).where("_least._t < _other")
+    members = staged(keys.join(full.select("_key", F.col("_least._t").alias("_p"), F.col("_least._n").alias("_pn")), "_key"), "members")
+    labels = staged(members.select("_t").distinct().withColumn("_c", F.col("_t")), "groups")
+    texts = staged(with_texts(base, first.join(labels, "_t", "left_semi").select(*DOC, "_t")).select("_t", "_text").dropDuplicates(["_t"]), "candidates")
+
+    close = (F.least("_n", "_pn") >= ALIKE * F.greatest("_n", "_pn")) & (F.col("_t") != F.col("_p"))
+    ends = [F.least("_t", "_p").alias("a"), F.greatest("_t", "_p").alias("b")]
+    used, pivots = members.select("_key", F.col("_p").alias("_t")).distinct(), 1
     known = _pairs_linked(staged(members.where(close).select(*ends).distinct(), "pairs"), texts)
     labels = _joined(labels, known)
-    left = _unresolved(members.select("_key", "_k", "_n"), labels)
+    left = _unresolved(members.select("_key", "_t", "_n"), labels)
     if left.isEmpty():
-        return _classes_of(first, labels)
-    left = staged(left.join(_viable(left, texts), "_k", "left_semi").drop("_c"), "viable")
+        return _grouped(first, labels)
+    left = staged(left.join(_viable(left, texts), "_t", "left_semi").drop("_c"), "viable")
     while True:
         open_ = _unresolved(left, labels)
         pivots *= PIVOTS
-        new = open_.join(used, ["_key", "_k"], "left_anti").groupBy("_key", F.pmod(F.xxhash64("_k"), F.lit(pivots)).alias("_slot")).agg(F.min(F.struct("_k", "_n", "_c")).alias("_x"))
-        new = staged(new.select("_key", F.col("_x._k").alias("_p"), F.col("_x._n").alias("_pn"), F.col("_x._c").alias("_pc")), "pivots")
+        new = open_.join(used, ["_key", "_t"], "left_anti").groupBy("_key", F.pmod(F.xxhash64("_t"), F.lit(pivots)).alias("_slot")).agg(F.min(F.struct("_t", "_n", "_c")).alias("_x"))
+        new = staged(new.select("_key", F.col("_x._t").alias("_p"), F.col("_x._n").alias("_pn"), F.col("_x._c").alias("_pc")), "pivots")
         if new.isEmpty():
             break
-        used = used.unionByName(new.select("_key", F.col("_p").alias("_k")))
+        used = used.unionByName(new.select("_key", F.col("_p").alias("_t")))
         pairs = staged(open_.join(new, "_key").where(close & (F.col("_c") != F.col("_pc"))).select(*ends).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
@@ -193,53 +194,47 @@ def text_classes(base: DataFrame) -> DataFrame:
         known = known.unionByName(more)
         if not more.where("linked").isEmpty():
             labels = _joined(labels, more)
-    return _classes_of(first, labels)
+    return _grouped(first, labels)
 
 
-def _classes_of(first: DataFrame, labels: DataFrame) -> DataFrame:
-    return first.join(labels, "_k", "left").select("_d1", "_d2", F.coalesce("_c", "_k").alias("_class"))
+def _grouped(first: DataFrame, labels: DataFrame) -> DataFrame:
+    return first.join(labels, "_t", "left").select(*DOC, "_t", F.coalesce("_c", "_t").alias("_c"))
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members (_key, _k, _n) with their group _c, of keys whose texts aren't all one group."""
-    grouped = members.join(labels, "_k")
+    """members (_key, _t, _n) with their group _c, of keys whose texts aren't all one group."""
+    grouped = members.join(labels, "_t")
     split = grouped.groupBy("_key").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y")).where("_x < _y").select("_key")
     return staged(grouped.join(split, "_key", "left_semi"), "open")
 
 
 def _kmers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k, text in zip(batch.column("_k").to_pylist(), batch.column("_text")):
+        for t, text in zip(batch.column("_t").to_pylist(), batch.column("_text")):
             grams = labelled(kmers(FIND(text.as_py())))
             for at in range(0, len(grams), 1 << 16):
                 part = grams[at : at + (1 << 16)]
-                yield pa.record_batch([pa.array(np.full(len(part), k)), pa.array(part.view(np.int64))], ["_k", "_gram"])
+                yield pa.record_batch([pa.array(np.full(len(part), t)), pa.array(part.view(np.int64))], ["_t", "_gram"])
 
 
 def _viable(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """_k of the texts of left that can have a partner there. Alike texts of n and m k-mers have
+    """_t of the texts of left that can have a partner there. Alike texts of n and m k-mers have
     ALIKE / (1 + ALIKE) * (n + m) of them in common, where m is at least ALIKE * n and the least of
     any text that shares a key; so many of a text's k-mers must be in some other text too."""
-    least = left.join(left.groupBy("_key").agg(F.min("_n").alias("_m")), "_key").groupBy("_k", "_n").agg(F.min("_m").alias("_m"))
-    sizes = staged(least.select("_k", (ALIKE / (1 + ALIKE) * (F.col("_n") + F.greatest("_m", ALIKE * F.col("_n"))) - 1e-6).alias("_needed")), "needed")
-    grams = staged(texts.join(sizes.hint("shuffle_hash"), "_k", "left_semi").select("_k", "_text").mapInArrow(_kmers_of, "_k long, _gram long"), "grams")
-    shared = grams.groupBy("_gram").agg(F.min("_k").alias("_x"), F.max("_k").alias("_y")).where("_x < _y").select("_gram")
-    common = grams.join(shared, "_gram", "left_semi").groupBy("_k").agg(F.count("*").alias("_common"))
-    return common.join(sizes, "_k").where("_common >= _needed").select("_k")
+    least = left.join(left.groupBy("_key").agg(F.min("_n").alias("_m")), "_key").groupBy("_t", "_n").agg(F.min("_m").alias("_m"))
+    sizes = staged(least.select("_t", (ALIKE / (1 + ALIKE) * (F.col("_n") + F.greatest("_m", ALIKE * F.col("_n"))) - 1e-6).alias("_needed")), "needed")
+    grams = staged(texts.join(sizes.hint("shuffle_hash"), "_t", "left_semi").select("_t", "_text").mapInArrow(_kmers_of, "_t long, _gram long"), "grams")
+    shared = grams.groupBy("_gram").agg(F.min("_t").alias("_x"), F.max("_t").alias("_y")).where("_x < _y").select("_gram")
+    common = grams.join(shared, "_gram", "left_semi").groupBy("_t").agg(F.count("*").alias("_common"))
+    return common.join(sizes, "_t").where("_common >= _needed").select("_t")
 
 
 def _joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """labels (_k, _c) after the groups that linked pairs (a, b) connect have become one."""
-    of = lambda c: labels.select(F.col("_k").alias(c), F.col("_c").alias(f"{c}_c"))
+    """labels (_t, _c) after the groups that linked pairs (a, b) connect have become one."""
+    of = lambda c: labels.select(F.col("_t").alias(c), F.col("_c").alias(f"{c}_c"))
     edges = pairs.where("linked").join(of("a"), "a").join(of("b"), "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
     least = components(edges).select(F.col("id").alias("_c"), F.col("component_id").alias("_to"))
-    return staged(labels.join(least, "_c", "left").select("_k", F.coalesce("_to", "_c").alias("_c")), "groups")
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_k")
+    return staged(labels.join(least, "_c", "left").select("_t", F.coalesce("_to", "_c").alias("_c")), "groups")
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,11 +242,15 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Texts without words, null ones too, are equal; texts of up to four words are near copies only if their words are
     equal. A null id counts as larger than all others and has a null class if all of its group
-    are null. Of an id with several texts, each takes part in groups of equal texts only.
+    are null. Of several texts with one id or with none, each is in the group of its own near copies;
+    different groups that have their smallest id in common have the same class_id.
     Repeated rows are kept as they are; an empty table gives no rows; other columns are ignored.
     """
     base = text_keys(docs, id_col, text_col)
-    of = staged(text_classes(base), "text-classes")
+    groups = staged(text_groups(base), "text-groups")
+    heads = groups.where("_c = _t").select("_d1", "_d2", F.col("_k").alias("_class"), "_c")
+    others = groups.where("_c <> _t").select("_d1", "_d2", "_c").join(heads.select("_c", "_class"), "_c")
+    of = staged(heads.drop("_c").unionByName(others.drop("_c")), "text-classes")
     out = base.select("_id", "_d1", "_d2").join(of, ["_d1", "_d2"])
     klass = F.when(F.col("_class") < F.lit(2**63 - 1), F.col("_class"))
     return out.select(F.col("_id").alias(id_col), klass.alias("class_id"), F.coalesce(F.col("_id") == klass, F.lit(False)).alias("kept"))
@@ -260,10 +259,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group, that with the smallest id; repeated rows once."""
     base = text_keys(docs, id_col, text_col)
-    of = text_classes(base)
-    # The text to keep of each group: the one whose first id is the class's.
-    chosen = base.select(*DOC).distinct().join(of, ["_d1", "_d2"]).where("_k = _class").groupBy("_class").agg(F.min(F.struct(*DOC)).alias("_x")).select("_x.*")
-    chosen = staged(chosen, "chosen")
+    chosen = staged(text_groups(base).where("_c = _t").select(*DOC), "chosen")
     copies = base.select(*DOC).groupBy(*DOC).agg(F.count("*").alias("_rows")).where("_rows > 1").join(chosen, DOC, "left_semi").select(*DOC)
     plain = _plain(text_col)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), ordered_key(F.col(id_col)).alias("_k"), F.xxhash64(plain).alias("_d1"), F.xxhash64(F.lit(7), plain).alias("_d2")).join(chosen.hint("shuffle_hash"), DOC, "left_semi")
