@@ -124,6 +124,20 @@ def test_levels_merge(spark, docs):
     assert runs(one) == runs(many) != []
 
 
+def test_repeats_across_batches(spark, docs):
+    """What stands once in each of two batches repeats, and so do copies of a whole text, whichever way rows are dealt."""
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    other = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    rows = [(1, other(300) + line), (2, other(900)), (3, line + other(200)), (4, other(50) + line + other(50)), (5, other(700))]
+    rows += [(6, rows[1][1]), (None, rows[4][1]), (7, other(500)), (8, rows[1][1][:450] + other(100))]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_levels.batch_digests([few.where(w) for w in ("doc_id in (1, 2)", "doc_id in (3, 5, 7)", "doc_id in (4, 6, 8) or doc_id is null")]).collect()}
+    assert got == {1: 400, 2: 900, 3: 400, 4: 400, 5: 700, 6: 900, None: 700, 7: 0, 8: 450}
+    parts = [docs.where(F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0)) == i) for i in range(3)]
+    assert multiset(suffix_levels.batch_digests(parts, length=128).collect()) == multiset(suffix_levels.repeat_digests(docs, length=128).collect())
+
+
 def test_token_counts(spark, docs, tmp_path):
     import public_tokenizers
     import sentencepiece

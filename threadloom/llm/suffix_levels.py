@@ -1,22 +1,25 @@
-"""Byte passages that occur more than once, found by a logarithmic family of sorted indexes.
+"""Byte passages that occur more than once, found by a logarithmic family of suffix tables.
 
-A level of the family is a table of suffixes, sorted, with what is needed to compare them: a
-sparse suffix array, as only the suffixes at anchors (which every passage of the threshold's
-length has) are kept, each with as many bytes before and after it as a passage can have. A new
-batch becomes a level; it is merged with the levels there are by anchor, which shows all
-matches between them, and levels of about equal size are merged into one, so that there are
-only logarithmically many and each text is rewritten as often.
+A level of the family is a table of suffixes with what is needed to compare them: only the
+suffixes at anchors (which every passage of the threshold's length has) are kept, each with as
+many bytes before and after it as a passage can have. A new batch becomes a level, and levels of
+about equal size are merged into one, so that there are only logarithmically many and each suffix
+is rewritten as often. Levels aren't stored in order: repeats() brings all of them together by
+anchor, sorts and scans them once.
 
 A passage around an anchor has 168 bytes before it or 232 from it on, so each anchor has two
 keys, of the 232 bytes on either side: lines that are everywhere but shorter than that have no
-key twice. Within a batch, suffixes are only kept where a key occurs again, and equal ones of
-a text are one. Texts that occur several times are told by digests: all of their passages repeat.
+key twice. Suffixes are only kept where a key occurs again in the family, and equal ones of a text
+are one. So the family holds the keys of all its batches: where a new batch's key meets one that
+stood alone until then, the earlier text is read again for the suffix there. Texts that occur
+several times, in whatever batches, are told by digests: all of their passages repeat.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -225,11 +228,45 @@ def _some_windows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 class Levels:
-    """The family: one table a level in a folder that outlives the batches, smallest first."""
+    """The family: one table a level in a folder that outlives the batches, smallest first. Batches
+    added by add_batch must stay readable, as later ones may need their texts."""
 
     def __init__(self, spark: SparkSession, n: int, path: str | None = None):
         self.spark, self.n, self.path = spark, n, path or fresh_folder(spark, "levels")
         self.levels: list[tuple[int, str]] = []
+        #: Of each batch: its rows, its texts, those that no earlier batch has, and their keys.
+        self.batches: list[tuple[DataFrame, DataFrame, DataFrame, DataFrame]] = []
+
+    def add_batch(self, base: DataFrame) -> None:
+        """The rows of a batch (as keyed gives them): what it has in common with itself and with all earlier ones."""
+        texts = staged(classes(base), "texts")
+        anchors = _batch_anchors(base, self.n)
+        new = texts
+        if self.batches:
+            new = staged(texts.join(_union(b[1] for b in self.batches).select("_d1", "_d2"), ["_d1", "_d2"], "left_anti"), "new-texts")
+            anchors = staged(anchors.join(new.select(F.col("_first").alias("_k"), "_d1", "_d2"), DOC, "left_semi"), "new-anchors")
+            self.add(self._met(base, new, anchors))
+        else:
+            self.add(_suffixes_at(base, hits(anchors, shared_anchors(anchors, within=True), texts, F.col("_anchor")), self.n))
+        self.batches.append((base, texts, new, anchors))
+
+    def _met(self, base: DataFrame, new: DataFrame, anchors: DataFrame) -> DataFrame:
+        """The new texts' suffixes at keys that occur again anywhere, and those of earlier texts at keys that did not before."""
+        earlier = _union(b[3] for b in self.batches)
+        earlier = staged(earlier.join(anchors.select("_anchor").distinct(), "_anchor", "left_semi"), "met-anchors")
+        shared = staged(shared_anchors(earlier.unionByName(anchors), within=True), "shared")
+        fresh = shared.join(shared_anchors(earlier, within=True).select("_anchor"), "_anchor", "left_anti")
+        there = hits(earlier, fresh, _union(b[2] for b in self.batches), F.col("_anchor"))
+        here = hits(anchors, shared, new, F.col("_anchor"))
+        return _suffixes_at(base, here, self.n).unionByName(_suffixes_at(self.rows(), there, self.n))
+
+    def rows(self) -> DataFrame:
+        return _union(b[0] for b in self.batches)
+
+    def texts(self) -> DataFrame:
+        """_d1, _d2, _copies of each text of all batches."""
+        texts = _union(b[1].select("_d1", "_d2", "_copies") for b in self.batches)
+        return texts if len(self.batches) == 1 else texts.groupBy("_d1", "_d2").agg(F.sum("_copies").alias("_copies"))
 
     def add(self, suffixes: DataFrame) -> None:
         """A batch's suffixes as a new level; levels that aren't twice as large as what comes are merged with it."""
@@ -302,13 +339,24 @@ def _removed(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
-def batch_suffixes(base: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """A batch's level: the suffixes at keys that occur again within it."""
-    anchors = staged(base.select(*DOC, "_text").mapInArrow(_anchors(n), "_anchor long, _k long, _d1 long, _d2 long, _times long"), "anchors")
-    found = hits(anchors, shared_anchors(anchors, within=True), texts, F.col("_anchor"))
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _batch_anchors(base: DataFrame, n: int) -> DataFrame:
+    return staged(base.select(*DOC, "_text").mapInArrow(_anchors(n), "_anchor long, _k long, _d1 long, _d2 long, _times long"), "anchors")
+
+
+def _suffixes_at(base: DataFrame, found: DataFrame, n: int) -> DataFrame:
     return with_texts(base, found).mapInArrow(_suffixes(n), SUFFIX)
 
 
+def batch_suffixes(base: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """A single batch's level: the suffixes at keys that occur again within it. Levels.add_batch sees earlier batches too."""
+    anchors = _batch_anchors(base, n)
+    return _suffixes_at(base, hits(anchors, shared_anchors(anchors, within=True), texts, F.col("_anchor")), n)
+
+
 def repeat_digests(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id_col, n_bytes, n_removed, n_spans, kept_sha256, after the
     removal of every byte that a string of length bytes covers which starts elsewhere too, in
@@ -318,12 +366,17 @@ def repeat_digests(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
     repeated rows are texts that occur again. An empty table gives no rows; other columns are
     ignored. Texts of any length are handled whole; matches never cross rows.
     """
+    return batch_digests([docs], length=length, id_col=id_col, text_col=text_col)
+
+
+def batch_digests(batches: list[DataFrame], *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """repeat_digests of all batches' rows together, as the family finds it batch after batch."""
     if length < 2 * GRAM:
         raise ValueError(f"a passage has at least {2 * GRAM} bytes")
-    base = keyed(docs, id_col, text_col)
-    texts = staged(classes(base), "texts")
-    family = Levels(docs.sparkSession, length)
-    family.add(batch_suffixes(base, texts, length))
+    family = Levels(batches[0].sparkSession, length)
+    for docs in batches:
+        family.add_batch(keyed(docs, id_col, text_col))
+    base, texts = family.rows(), family.texts()
     runs = family.repeats().groupBy(*DOC).agg(F.collect_set(F.struct("_first", "_last")).alias("_runs"))
     done = with_texts(base, runs).mapInArrow(_removed(length), "_k long, _d1 long, _d2 long, _removed long, _spans long, _kept string").dropDuplicates(DOC)
     size = F.octet_length("_text").cast("long")
