@@ -100,6 +100,21 @@ def test_pages(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ['<div class="content-with-sidebar">', '<div class="no-sidebar">', '<div id="search-results">', '<div class="a has-header">', '<div class="search">', '<main><div class="widget">', '<div id="sidebar"><div><main>'],
+)
+def test_names_do_not_hide_articles(wrapper):
+    article = '<article class="related"><header class="entry-header"><h1>Title</h1></header><div class="post-header">By x</div><div class="header site-header"><p>Dek</p></div><p>Text</p><div class="ads-free">Free</div>'
+    page = f'<body><div class="top nav-menu">Home</div>{wrapper}{article}<div class="wide ad">Buy</div><div class="cookie-banner">Ok?</div><div id="comments"><article>me too</article></div></article>'
+    assert html_text.Page(page).main_text(set()) == "Title\n\nBy x\n\nDek\n\nText\n\nFree"
+
+
+def test_roles_still_hide_articles():
+    for wrapper in ("<aside>", "<nav>", '<div role="search">'):
+        assert html_text.Page(f"<body>{wrapper}<article>Teaser</article>").main_text(set()) == ""
+
+
 def toxic_docs():
     rng = random.Random(6)
     plain, rude = [f"wo{a}{b}" for a in "abcdefgh" for b in "rstuvw"], ["grumbl", "snarkle", "vexo"]
