@@ -100,6 +100,20 @@ def test_pages(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 40])
+def test_nearest_in_short_lists(spark, monkeypatch, copies):
+    """However short a query's lists are, or whatever ids they repeat, it gets k neighbours if there are so many."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 4)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 3)
+    rows = vectors() + [vectors()[20]] * copies
+    found = neighbours.nearest(spark.createDataFrame(rows, VECTORS), lambda i: i % 20 == 0, wanted=0.0).collect()
+    by_query: dict[int, set] = {}
+    for r in found:
+        by_query.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(by_query) == {i for i in usable(label=False) if i % 20 == 0}
+    assert {len(f) for f in by_query.values()} == {20} and len(found) == 20 * len(by_query)
+
+
 @pytest.mark.parametrize(
     "wrapper",
     ['<div class="content-with-sidebar">', '<div class="no-sidebar">', '<div id="search-results">', '<div class="a has-header">', '<div class="search">', '<main><div class="widget">', '<div id="sidebar"><div><main>'],

@@ -5,6 +5,8 @@ memory with a graph over them. Every vector is in the list of its nearest centro
 it lies near a boundary, in others too. A query searches the graph for all centroids that are
 at most a ratio further than its nearest one, and only those lists. The ratio is measured: the
 smallest that finds the wanted share of the true neighbours of some queries among all rows.
+A query whose lists hold too few vectors takes further ones, nearest first; those that still have
+fewer neighbours than there are candidates are compared with all rows.
 
 Largest inner products are nearest vectors once each vector gets a further component that
 makes all of equal length (and queries a zero there).
@@ -73,26 +75,34 @@ class Centroids:
         """Squared, of rows of v (augmented) to all centroids."""
         return np.maximum(0.0, self.norms[None] - 2 * (v @ self.c.T) + np.einsum("ij,ij->i", v, v)[:, None])
 
-    def search(self, q: np.ndarray, ratio: float) -> list[int]:
-        """Centroids within ratio times the distance of the nearest, nearest first, by best-first
-        search: a node is left unexpanded only beyond that ratio and after the nearest DEGREE."""
+    def search(self, q: np.ndarray, ratio: float, counts: np.ndarray, least: int) -> list[int]:
+        """Centroids within ratio times the distance of the nearest, and as many more as it takes for
+        their lists (of counts rows) to hold least rows, nearest first, by best-first search: a
+        node is left unexpanded only beyond that and after the nearest DEGREE."""
         far = lambda nodes: np.sqrt(np.maximum(0.0, ((self.c[nodes] - q) ** 2).sum(axis=1)))
         start = np.unique(np.linspace(0, len(self.c) - 1, min(16, len(self.c))).astype(np.int64))
         seen, heap, found = set(start.tolist()), list(zip(far(start).tolist(), start.tolist())), []
         heapq.heapify(heap)
-        best = heap[0][0]
+        best, held = heap[0][0], 0
         while heap:
             d, i = heapq.heappop(heap)
             best = min(best, d)
-            if d > ratio * best and len(found) >= DEGREE:
+            if d > ratio * best and len(found) >= DEGREE and held >= least:
                 break
             found.append((d, i))
+            held += counts[i]
             new = [j for j in self.edges[i].tolist() if j not in seen]
             if new:
                 seen.update(new)
                 for pair in zip(far(np.asarray(new)).tolist(), new):
                     heapq.heappush(heap, pair)
-        return [i for d, i in sorted(found) if d <= ratio * best]
+        out, held = [], 0
+        for d, i in sorted(found):
+            if d > ratio * best and held >= least:
+                break
+            out.append(i)
+            held += counts[i]
+        return out
 
     def assign(self, v: np.ndarray) -> list[list[int]]:
         """Lists of each vector: of its nearest centroid, and of others within BOUNDARY that no
@@ -125,11 +135,11 @@ def _assign(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
-def _route(sent, ratio: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _route(sent, ratio: float, counts: np.ndarray, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column("_v"))
-            found = [sent.value.search(np.append(q, 0.0), ratio) for q in v]
+            found = [sent.value.search(np.append(q, 0.0), ratio, counts, least) for q in v]
             yield pa.record_batch([batch.column("_id"), batch.column("_v"), pa.array(found, pa.list_(pa.int32()))], ["_id", "_v", "_lists"])
 
     return run
@@ -215,7 +225,7 @@ def measured_ratio(postings: DataFrame, centroids: Centroids, queries: DataFrame
 
 def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, k: int = 20, wanted: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product that the lists
-    of each query hold, ties to smaller ids; fewer if there are fewer candidates.
+    of each query hold, ties to smaller ids; fewer only if there are fewer candidates.
 
     Every row with an id and a vector of the commonest length that is finite and not zero takes
     part, queries too; others don't appear. A query's own id is no candidate, and an id that
@@ -232,10 +242,11 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, k: int
     postings = staged(rows.mapInArrow(_assign(sent), f"_id long, _v {kind}, _lists array<int>"), "postings")
     queries = rows.where(is_query(F.col("_id")))
     ratio = measured_ratio(postings, centroids, queries, k, wanted)
-    routed = staged(queries.mapInArrow(_route(sent, ratio), f"_id long, _v {kind}, _lists array<int>"), "routed")
+    counts = {r["l"]: r["n"] for r in postings.select(F.explode("_lists").alias("l")).groupBy("l").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
+    sizes = np.asarray([counts.get(l, 0) for l in range(len(centroids.c))], np.int64)
+    routed = staged(queries.mapInArrow(_route(sent, ratio, sizes, k + 1), f"_id long, _v {kind}, _lists array<int>"), "routed")
 
     # Shards of neighbouring lists; a list with more rows than a shard has several, by hash of the id.
-    counts = {r["l"]: r["n"] for r in postings.select(F.explode("_lists").alias("l")).groupBy("l").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
     shard_of, held, shard = {}, 0, 0
     for l in range(len(centroids.c)):
         n = counts.get(l, 0)
@@ -255,4 +266,23 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, k: int
     left = postings.withColumn("_shard", F.explode(held_in)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = routed.withColumn("_shard", F.explode(asked_in)).withColumn("_block", (salt(F.col("_id")) % blocks).cast("int"))
     found = left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
-    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    found = staged(ranked(found, k).select("query_id", "rank", "vec_id", "score"), "found")
+    return _completed(found, rows, queries, k)
+
+
+def _completed(found: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """found, with the neighbours among all rows of queries that have fewer than k there, if there are
+    more candidates: lists may overlap, and hold an id several times."""
+    have = found.groupBy(F.col("query_id").alias("_id")).agg(F.count("*").alias("_n"))
+    short = staged(queries.join(have, "_id", "left").where(F.coalesce("_n", F.lit(0)) < k).select("_id", "_v", F.coalesce("_n", F.lit(0)).alias("_n")), "short")
+    if short.isEmpty():
+        return found
+    wanted = min(k, rows.select("_id").distinct().count() - 1)
+    short = short.where(F.col("_n") < wanted)
+    parts = math.ceil(short.count() / QUERY_ROWS)
+    out = found
+    for part in range(parts):
+        some = short.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(parts)) == part).select("_id", "_v").toArrow()
+        if some.num_rows:
+            out = out.unionByName(staged(brute_force(rows, some, k).select("query_id", "rank", "vec_id", "score"), "completed"))
+    return ranked(out.drop("rank"), k).select("query_id", "rank", "vec_id", "score") if parts else found
