@@ -204,6 +204,28 @@ def test_near_chain(spark):
     assert set(got.values()) == {89}
 
 
+@pytest.mark.parametrize("block", [384, 7])
+def test_near_crowds(spark, block, monkeypatch):
+    """Texts around one origin, many of them just not alike: groups equal those of all pairs."""
+    monkeypatch.setattr(near_texts, "BLOCK", block)
+    rng = random.Random(12)
+    origins = [[rng.choice("ab cd ef gh ij kl mn".split()) + str(rng.randrange(40)) for _ in range(80)] for _ in range(2)]
+    rows = []
+    for i in range(120):
+        words = list(origins[i % 2])
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(len(words))] = f"own{rng.randrange(30)}"
+        rows.append((i, " ".join(words[: 80 - 6 * (i % 5)])))
+    words = [t.split() for _, t in rows]
+    want = {i: i for i, _ in rows}
+    links = [(i, j) for i in want for j in want if i < j and near_texts.similar(words[i], words[j])]
+    while any(want[i] != want[j] for i, j in links):
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    got = {r["doc_id"]: r["class_id"] for r in near_texts.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 10
+
+
 def test_near_copies_share_ids(spark):
     """Different texts without an id, or with the same one, are each compared with all others, and none is lost."""
     texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"]

@@ -6,18 +6,20 @@ of the text; their hash is a key. Texts alike in their k-mers' set and order sha
 at a Jaccard similarity of 0.8, all keys differ with a chance of about 3e-8.
 
 Texts are numbered in the order of their ids. Those that share a key are compared with the first
-there, and linked if at least 0.8 of
-their k-mers are common and an alignment within a band finds an edit similarity of 0.8 or more.
-While texts of a key aren't all one group, others of them serve as pivots too, PIVOTS times as
-many each time, until all have been: so no pair of different groups is left out, and a group of
-copies is never compared all with all. What can't be alike isn't compared: pairs whose numbers
-of k-mers differ too much, and texts of which too many k-mers are in no other text that is left.
-Equal texts are one text from the start.
+there, and linked if at least 0.8 of their k-mers are common and an alignment within a band finds
+an edit similarity of 0.8 or more. That makes most of a key's texts one group. What is left are
+keys of several groups, and pairs of texts of different groups that share one: those are all
+compared, so no link is lost, but for pairs that can't be alike, as their numbers of k-mers differ
+too much or one has too few k-mers that any text of another group has. Keys of few texts give
+their pairs; those with many are put together where texts share them, and compared block by
+block: common k-mers of all pairs of two blocks are one product of matrices, and a block gives no more
+links than it takes to join its groups. Equal texts are one text from the start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,10 @@ from ._graph import components
 from ._shared import WORD, ordered_key, staged
 from .substrings import FIND, symbols
 
-#: Words of a k-mer, hash functions, k-mers of a key, and the similarity from which texts are linked;
-#: by how much the pivots of a key grow from round to round.
-KMER, BANDS, LENGTH, ALIKE, PIVOTS = 5, 24, 3, 0.8, 16
+#: Words of a k-mer, hash functions, k-mers of a key, and the similarity from which texts are linked.
+KMER, BANDS, LENGTH, ALIKE = 5, 24, 3, 0.8
+#: Texts of a key up to which it gives its pairs; texts and k-mers of a block on average, and columns of a matrix.
+FEW, BLOCK, BLOCK_KMERS, COLUMNS = 12, 384, 300_000, 4096
 _SEEDS = np.random.default_rng(50).integers(1 << 63, size=(2, BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -172,29 +175,100 @@ def text_groups(base: DataFrame) -> DataFrame:
 
     close = (F.least("_n", "_pn") >= ALIKE * F.greatest("_n", "_pn")) & (F.col("_t") != F.col("_p"))
     ends = [F.least("_t", "_p").alias("a"), F.greatest("_t", "_p").alias("b")]
-    used, pivots = members.select("_key", F.col("_p").alias("_t")).distinct(), 1
     known = _pairs_linked(staged(members.where(close).select(*ends).distinct(), "pairs"), texts)
     labels = _joined(labels, known)
     left = _unresolved(members.select("_key", "_t", "_n"), labels)
     if left.isEmpty():
         return _grouped(first, labels)
-    left = staged(left.join(_viable(left, texts), "_t", "left_semi").drop("_c"), "viable")
-    while True:
-        open_ = _unresolved(left, labels)
-        pivots *= PIVOTS
-        new = open_.join(used, ["_key", "_t"], "left_anti").groupBy("_key", F.pmod(F.xxhash64("_t"), F.lit(pivots)).alias("_slot")).agg(F.min(F.struct("_t", "_n", "_c")).alias("_x"))
-        new = staged(new.select("_key", F.col("_x._t").alias("_p"), F.col("_x._n").alias("_pn"), F.col("_x._c").alias("_pc")), "pivots")
-        if new.isEmpty():
-            break
-        used = used.unionByName(new.select("_key", F.col("_p").alias("_t")))
-        pairs = staged(open_.join(new, "_key").where(close & (F.col("_c") != F.col("_pc"))).select(*ends).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        more = _pairs_linked(pairs, texts)
-        known = known.unionByName(more)
-        if not more.where("linked").isEmpty():
-            labels = _joined(labels, more)
-    return _grouped(first, labels)
+    left = staged(left.join(_viable(left, texts), "_t"), "viable")
+    sizes = left.groupBy("_key").agg(F.count("*").alias("_in"), F.min("_c").alias("_x"), F.max("_c").alias("_y")).where("_x < _y").select("_key", "_in")
+    left = staged(left.join(sizes, "_key"), "left")
+    pairs = staged(_few_pairs(left.where(F.col("_in") <= FEW)).join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    more = _pairs_linked(pairs, texts).unionByName(_blocks_linked(left.where(F.col("_in") > FEW), texts))
+    return _grouped(first, _joined(labels, more))
+
+
+def _possible(x: Column, y: Column) -> Column:
+    """Whether texts (_t, _n, _c, _m) of different groups can be alike, by their numbers of k-mers and
+    of those that other groups' texts have: alike ones have ALIKE / (1 + ALIKE) of both's in common."""
+    sized = F.least(x["_n"], y["_n"]) >= ALIKE * F.greatest(x["_n"], y["_n"])
+    return (x["_c"] != y["_c"]) & sized & (F.least(x["_m"], y["_m"]) >= ALIKE / (1 + ALIKE) * (x["_n"] + y["_n"]) - 1e-6)
+
+
+def _few_pairs(left: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of keys with at most FEW."""
+    of = left.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_t", "_n", "_c", "_m"))).alias("_all"))
+    ends = lambda x: F.transform(F.filter("_all", lambda y: (x["_t"] < y["_t"]) & _possible(x, y)), lambda y: F.struct(x["_t"].alias("a"), y["_t"].alias("b")))
+    return of.select(F.explode(F.flatten(F.transform("_all", ends))).alias("_p")).select("_p.*").distinct()
+
+
+def _blocks_linked(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, linked (true) that join the groups of alike texts in keys with many.
+
+    A text is in one set of keys that texts connect. Sizes in k-mers are cut into bands, so that
+    only texts of one band or of neighbouring ones can be alike: each is in the cell of its
+    own band and, as a lower one, in the next. Cells are compared in blocks.
+    """
+    one = left.groupBy("_t", "_n", "_c", "_m").agg(F.min("_key").alias("_k0"))
+    edges = left.select("_t", "_key").join(one.select("_t", "_k0"), "_t").select(F.col("_k0").alias("a"), F.col("_key").alias("b")).distinct()
+    sets = components(edges).select(F.col("id").alias("_k0"), F.col("component_id").alias("_set"))
+    band = F.floor(F.log(F.col("_n").cast("double")) / math.log(1 / (ALIKE - 0.01))).cast("int")
+    placed = one.join(sets, "_k0", "left").select("_t", "_n", "_c", "_m", F.coalesce("_set", "_k0").alias("_set"), F.explode(F.array(F.struct(band.alias("_band"), F.lit(False).alias("_low")), F.struct((band + 1).alias("_band"), F.lit(True).alias("_low")))).alias("_x"))
+    placed = staged(placed.select("_t", "_n", "_c", "_m", "_set", "_x.*"), "placed")
+    cell = ["_set", "_band"]
+    cells = placed.groupBy(*cell).agg(F.count("*").alias("_in"), F.sum("_n").alias("_kmers"), F.min("_low").alias("_lower"), F.min("_c").alias("_x"), F.max("_c").alias("_y")).where("_x < _y and not _lower")
+    cells = cells.select(*cell, F.ceil(F.greatest(F.col("_in") / BLOCK, F.col("_kmers") / BLOCK_KMERS)).cast("int").alias("_blocks"))
+    dealt = placed.join(cells, cell).withColumn("_sub", F.pmod(F.xxhash64("_t"), F.col("_blocks")).cast("int"))
+    dealt = dealt.join(texts, "_t").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumn("_i", F.least("_sub", "_other")).withColumn("_j", F.greatest("_sub", "_other"))
+    keys = [*cell, "_i", "_j"]
+    found = dealt.select(*keys, "_t", "_n", "_c", "_m", "_low", "_sub", "_text").groupBy(*keys).applyInArrow(_block_links, "a long, b long")
+    return staged(found.distinct().withColumn("linked", F.lit(True)), "block-links")
+
+
+def _block_links(rows: pa.Table) -> pa.Table:
+    t, n, c, m, low, sub = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("_t", "_n", "_c", "_m", "_low", "_sub"))
+    possible = c[:, None] != c[None]
+    possible &= ~(low[:, None] & low[None]) & (np.minimum.outer(n, n) >= ALIKE * np.maximum.outer(n, n))
+    possible &= np.minimum.outer(m, m) >= ALIKE / (1 + ALIKE) * np.add.outer(n, n) - 1e-6
+    if (sub != sub[0]).any():  # a block's own pairs are compared where it meets itself
+        possible &= sub[:, None] != sub[None]
+    some = np.flatnonzero(possible.any(axis=1))
+    ends: list[tuple[int, int]] = []
+    if len(some):
+        words = [FIND(rows.column("_text")[int(r)].as_py()) for r in some]
+        common = common_kmers([labelled(kmers(w)) for w in words])
+        alike = common >= ALIKE * (np.add.outer(n[some], n[some]) - common)
+        group = {x: x for x in c[some].tolist()}
+
+        def top(x: int) -> int:
+            while group[x] != x:
+                x = group[x]
+            return x
+
+        for i, j in np.argwhere(np.triu(possible[np.ix_(some, some)] & alike, 1)).tolist():
+            x, y = top(int(c[some[i]])), top(int(c[some[j]]))
+            if x != y and edits_within(words[i], words[j], int((1 - ALIKE) * max(len(words[i]), len(words[j])) + 1e-9)):
+                group[max(x, y)] = min(x, y)
+                ends.append((int(t[some[i]]), int(t[some[j]])))
+    return pa.table([pa.array([min(e) for e in ends], pa.int64()), pa.array([max(e) for e in ends], pa.int64())], ["a", "b"])
+
+
+def common_kmers(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets have in common, from those that several have, COLUMNS at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = times[column] > 1
+    row, column = row[many], np.unique(column[many], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), min(COLUMNS, int(column[b - 1]) + 1 - at)), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    return out
 
 
 def _grouped(first: DataFrame, labels: DataFrame) -> DataFrame:
@@ -210,23 +284,23 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _kmers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for t, text in zip(batch.column("_t").to_pylist(), batch.column("_text")):
+        for t, c, text in zip(batch.column("_t").to_pylist(), batch.column("_c").to_pylist(), batch.column("_text")):
             grams = labelled(kmers(FIND(text.as_py())))
             for at in range(0, len(grams), 1 << 16):
                 part = grams[at : at + (1 << 16)]
-                yield pa.record_batch([pa.array(np.full(len(part), t)), pa.array(part.view(np.int64))], ["_t", "_gram"])
+                yield pa.record_batch([pa.array(np.full(len(part), t)), pa.array(np.full(len(part), c)), pa.array(part.view(np.int64))], ["_t", "_c", "_gram"])
 
 
 def _viable(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """_t of the texts of left that can have a partner there. Alike texts of n and m k-mers have
-    ALIKE / (1 + ALIKE) * (n + m) of them in common, where m is at least ALIKE * n and the least of
-    any text that shares a key; so many of a text's k-mers must be in some other text too."""
-    least = left.join(left.groupBy("_key").agg(F.min("_n").alias("_m")), "_key").groupBy("_t", "_n").agg(F.min("_m").alias("_m"))
-    sizes = staged(least.select("_t", (ALIKE / (1 + ALIKE) * (F.col("_n") + F.greatest("_m", ALIKE * F.col("_n"))) - 1e-6).alias("_needed")), "needed")
-    grams = staged(texts.join(sizes.hint("shuffle_hash"), "_t", "left_semi").select("_t", "_text").mapInArrow(_kmers_of, "_t long, _gram long"), "grams")
-    shared = grams.groupBy("_gram").agg(F.min("_t").alias("_x"), F.max("_t").alias("_y")).where("_x < _y").select("_gram")
-    common = grams.join(shared, "_gram", "left_semi").groupBy("_t").agg(F.count("*").alias("_common"))
-    return common.join(sizes, "_t").where("_common >= _needed").select("_t")
+    """_t and _m, the number of its k-mers that a text of another group in left has too, of the texts of
+    left that can have a partner there: _possible for a partner of the least size that any text sharing a key has."""
+    least = left.join(left.groupBy("_key").agg(F.min("_n").alias("_m")), "_key").groupBy("_t", "_n", "_c").agg(F.min("_m").alias("_m"))
+    needed = ALIKE / (1 + ALIKE) * (F.col("_n") + F.greatest("_m", ALIKE * F.col("_n"))) - 1e-6
+    sizes = staged(least.select("_t", "_c", needed.alias("_needed")), "needed")
+    grams = staged(texts.join(sizes.select("_t", "_c").hint("shuffle_hash"), "_t").select("_t", "_c", "_text").mapInArrow(_kmers_of, "_t long, _c long, _gram long"), "grams")
+    shared = grams.groupBy("_gram").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y")).where("_x < _y").select("_gram")
+    common = grams.join(shared, "_gram", "left_semi").groupBy("_t").agg(F.count("*").alias("_m"))
+    return common.join(sizes, "_t").where("_m >= _needed").select("_t", "_m")
 
 
 def _joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
