@@ -90,9 +90,7 @@ def test_automaton(spark, docs):
             substrings.REFERENCE_WORDS = limit
 
 
-@pytest.mark.parametrize("together", [4096, 1])
-def test_repeats(spark, docs, together, monkeypatch):
-    monkeypatch.setattr(suffix_levels, "TOGETHER", together)
+def test_repeats(spark, docs):
     texts = [(t or "").encode() for _, t, *_ in awkward()]
     for n in (400, 128):
         count: dict[bytes, int] = {}
@@ -112,16 +110,19 @@ def test_repeats(spark, docs, together, monkeypatch):
 
 
 def test_levels_merge(spark, docs):
-    """Batches one by one give what they give together, in few levels."""
-    base = suffix_levels.keyed(docs.where("doc_id in (7, 8, 9, 14)").dropDuplicates(["doc_id"]), "doc_id", "text")
-    whole = suffix_levels.batch_suffixes(base, suffix_levels.classes(base), 128).cache()
-    one, many = (suffix_levels.Levels(spark, 128) for _ in range(2))
-    one.add(whole)
+    """Batches that come one by one make few levels, each in the order of its keys; merged ones are gone."""
+    family = suffix_levels.Levels(spark, 128)
     for part in (7, 8, 9, 14):
-        many.add(whole.where(whole["_k"] == part))
-    assert len(many.levels) <= 3 and sum(n for n, _ in many.levels) == whole.count()
-    runs = lambda family: multiset(family.repeats().distinct().collect())
-    assert runs(one) == runs(many) != []
+        family.add_batch(suffix_levels.keyed(docs.where(F.col("doc_id") == part), "doc_id", "text"))
+    whole = suffix_levels.Levels(spark, 128)
+    whole.add_batch(suffix_levels.keyed(docs.where("doc_id in (7, 8, 9, 14)").dropDuplicates(["text"]), "doc_id", "text"))
+    assert len(family.levels) <= 3 and sum(n for n, _ in family.levels) == family.suffixes().count()
+    assert family.suffixes().select("_anchor").distinct().count() == whole.suffixes().select("_anchor").distinct().count() > 0
+    files = family.suffixes().select("_anchor", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).collect()
+    by_file = {}
+    for r in sorted(files, key=lambda r: r["i"]):
+        by_file.setdefault(r["f"], []).append(r["_anchor"])
+    assert all(keys == sorted(keys) for keys in by_file.values())
 
 
 def test_repeats_across_batches(spark, docs):

@@ -41,6 +41,12 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ordered_key(c: Column) -> Column:
     """A long id, with nulls after all others."""
     return F.coalesce(c.cast("long"), F.lit(2**63 - 1))

@@ -1,18 +1,19 @@
-"""Byte passages that occur more than once, found by a logarithmic family of suffix tables.
+"""Byte passages that occur more than once, found by a logarithmic family of sparse suffix tables.
 
-A level of the family is a table of suffixes with what is needed to compare them: only the
-suffixes at anchors (which every passage of the threshold's length has) are kept, each with as
-many bytes before and after it as a passage can have. A new batch becomes a level, and levels of
-about equal size are merged into one, so that there are only logarithmically many and each suffix
-is rewritten as often. Levels aren't stored in order: repeats() brings all of them together by
-anchor, sorts and scans them once.
+A level of the family is a table of suffixes: only those at anchors (which every passage of the
+threshold's length has), by the key of the bytes they begin with, in the order of their keys. A
+new batch becomes a level: it is merge-scanned against the existing levels for keys that both
+have, and levels of about equal size are merged into one, so that there are only logarithmically
+many and each suffix is rewritten as often.
 
 A passage around an anchor has 168 bytes before it or 232 from it on, so each anchor has two
-keys, of the 232 bytes on either side: lines that are everywhere but shorter than that have no
-key twice. Suffixes are only kept where a key occurs again in the family, and equal ones of a text
-are one. So the family holds the keys of all its batches: where a new batch's key meets one that
-stood alone until then, the earlier text is read again for the suffix there. Texts that occur
-several times, in whatever batches, are told by digests: all of their passages repeat.
+keys, of the 232 bytes on either side. Where a key occurs again, all passages around its anchors
+are compared, in three steps of hashes that any number of tasks can sum: by all that the passages
+of a side span; where that differs, BLOCK passages at a time, by the bytes that all of them have
+and by what they span; and one by one where the former are equal and the latter aren't. Of
+contexts that are equal as a whole, one goes on to the next step. No step holds a key's contexts
+together, and their bytes stay with the texts. Texts that occur several times, in whatever
+batches, are told by digests: all of their passages repeat.
 """
 
 from __future__ import annotations
@@ -23,17 +24,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._anchors import CHUNK, DOC, classes, grams, hits, keyed, mixed, shared_anchors, signed, window_anchors, with_texts
-from ._shared import fresh_folder, staged
+from ._shared import dropped, fresh_folder, staged
 
-#: Bytes of an anchor's hash; suffixes of a key up to which they are compared in one task; windows
-#: that those of other keys are compared by at a time.
-GRAM, TOGETHER, BLOCK = 64, 4096, 13
-SUFFIX = "_anchor long, _k long, _d1 long, _d2 long, _at long, _from long, _bytes binary, _places array<long>"
+#: Bytes of an anchor's hash; passages that are compared at a time.
+GRAM, BLOCK = 64, 14
+#: _places: twice the place of an anchor, and 1 more for the side from it on.
+LEVEL = "_anchor long, _k long, _d1 long, _d2 long, _places array<long>"
 _values = np.random.default_rng(20).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def symbols(text: str) -> tuple[bytes, np.ndarray]:
@@ -61,204 +63,217 @@ def side_keys(x: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 
 def _anchors(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """LEVEL rows of texts: a row for each different key of a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, found, times = batch.slice(at, 256), [], []
+                part, found, places, sizes = batch.slice(at, 256), [], [], []
                 for text in part.column("_text"):
-                    keys = [k for _, _, k in side_keys(symbols(text.as_py())[1], n)]
-                    own, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+                    some = [(k, 2 * p + side) for side, p, k in side_keys(symbols(text.as_py())[1], n)]
+                    keys, where = (np.concatenate(x) for x in zip(*some)) if some else (np.zeros(0, np.int64),) * 2
+                    order = np.lexsort((where, keys))
+                    keys, where = keys[order], where[order]
+                    fresh = np.ones(len(keys), bool)
+                    fresh[1:] = (keys[1:] != keys[:-1]) | (where[1:] != where[:-1])  # chunks overlap
+                    keys, where = keys[fresh], where[fresh]
+                    own, count = np.unique(keys, return_counts=True)
                     found.append(own)
-                    times.append(count)
-                rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                yield pa.record_batch([pa.array(np.concatenate(found), pa.int64()), *(part.column(c).take(pa.array(rows)) for c in DOC), pa.array(np.concatenate(times), pa.int64())], ["_anchor", *DOC, "_times"])
+                    sizes.append(count)
+                    places.append(where)
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                ends = np.cumsum(np.concatenate([[0], *sizes]))
+                yield pa.record_batch([pa.array(np.concatenate(found), pa.int64()), *(part.column(c).take(rows) for c in DOC), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(places), pa.int64()))], ["_anchor", *DOC, "_places"])
 
     return run
 
 
-def _suffixes(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The suffixes at keys that are in _hits, with as many bytes before and after as the windows
-    of the key's side can have. Equal ones of a text are one row with all of their places."""
+_powers: list[np.ndarray] = []
+
+
+def range_hashes(x: np.ndarray, start: np.ndarray, end: np.ndarray, longest: int) -> np.ndarray:
+    """Hashes of x[start:end], of ranges of at most longest symbols, wherever they stand: differences
+    of running sums of powers, CHUNK symbols at a time."""
+    if not _powers:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            power = np.full(CHUNK + (1 << 16), np.uint64(base))
+            power[0] = 1
+            _powers.append(np.cumprod(power))
+    up, down = _powers
+    out = np.zeros(len(start), np.uint64)
+    for chunk in np.unique(start // CHUNK).tolist():
+        some, first = np.flatnonzero(start // CHUNK == chunk), chunk * CHUNK
+        part = x[first : first + CHUNK + longest]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        out[some] = (sums[end[some] - first] - sums[start[some] - first]) * down[start[some] - first]
+    return mixed(out + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _with(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return mixed(h ^ (more.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+CONTEXT = "_anchor long, _hull long, _k long, _d1 long, _d2 long, _at long, _first long, _last long"
+
+
+def _contexts(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each anchor in _hits: the first and last start of the passages on its side, and the hash of all they span."""
     reach, half = n - GRAM, (n - GRAM) // 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data, x = symbols(batch.column("_text")[i].as_py())
-                wanted = np.sort(np.asarray(batch.column("_hits")[i].as_py(), np.int64))
-                own: dict[tuple[int, int, bytes], set[int]] = {}
-                for side, p, key in side_keys(x, n):
-                    near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-                    for at, k in zip(p[wanted[near] == key].tolist(), key[wanted[near] == key].tolist()):
-                        start = max(0, at - (half - 1 if side else reach))
-                        own.setdefault((k, at - start, data[start : at + (n if side else n - half)]), set()).add(at)
-                one, rows = [batch.column(c)[i].as_py() for c in DOC], list(own.items())
-                for a in range(0, len(rows), 2048):
-                    some = rows[a : a + 2048]
-                    places = [sorted(v) for _, v in some]
-                    yield pa.record_batch([pa.array([k for (k, _, _), _ in some], pa.int64()), *(pa.array([v] * len(some), pa.int64()) for v in one), pa.array([v[0] for v in places], pa.int64()), pa.array([v[0] - lead for v, ((_, lead, _), _) in zip(places, some)], pa.int64()), pa.array([b for (_, _, b), _ in some], pa.binary()), pa.array(places, pa.list_(pa.int64()))], ["_anchor", *DOC, "_at", "_from", "_bytes", "_places"])
+    def of(x: np.ndarray, found: list[dict]) -> tuple[np.ndarray, ...]:
+        at = np.asarray([p for f in found for p in f["_places"]], np.int64)
+        anchor = np.repeat(np.asarray([f["_anchor"] for f in found], np.int64), [len(f["_places"]) for f in found])
+        place, side = at >> 1, at & 1
+        first = np.maximum(0, place - np.where(side == 1, half - 1, reach))
+        last = np.minimum(place - np.where(side == 1, 0, half), len(x) - n)
+        hull = range_hashes(x, first, last + n, reach + n)
+        return anchor, signed(_with(_with(hull, place - first), place - last)), at, first, last
 
-    return run
+    return _by_text(of, CONTEXT)
 
 
-def _mixed_with(h: np.ndarray, anchor: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return h ^ (anchor.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + (place.astype(np.uint64) << np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-
-
-def aligned_sums(t: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, lead, end, sums) of suffixes laid out with their anchors in one column: where their
-    bytes begin and end, and sums whose differences are hashes of ranges. Only ranges of the same
-    columns are compared with each other, so the hashes need no shift."""
-    reach = n - GRAM
-    anchor, at, start = (t.column(c).to_numpy() for c in ("_anchor", "_at", "_from"))
-    data = t.column("_bytes").to_pylist()
-    wide, lead = np.zeros((len(data), reach + n), np.uint8), reach - (at - start)
-    for i, d in enumerate(data):
-        wide[i, lead[i] : lead[i] + len(d)] = np.frombuffer(d, np.uint8)
-    weight = np.random.default_rng(21).integers(1 << 63, size=reach + n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    sums = np.zeros((len(data), reach + n + 1), np.uint64)
-    np.cumsum(_values[wide] * weight, axis=1, out=sums[:, 1:])
-    return anchor, lead, lead + np.asarray([len(d) for d in data], np.int64), sums
-
-
-def _windows_of(t: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, suffix, place before the anchor, hash) of every window of n bytes around the anchor."""
-    anchor, lead, end, sums = aligned_sums(t, n)
-    reach = n - GRAM
-    column = np.arange(reach + 1)
-    row, col = np.nonzero((column >= lead[:, None]) & (column + n <= end[:, None]))
-    return anchor, row, reach - col, _mixed_with(sums[row, col + n] - sums[row, col], anchor[row], col)
-
-
-RUNS = "_k long, _d1 long, _d2 long, _first long, _last long"
-
-
-def _runs(t: pa.Table, row: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
-    """Of windows that repeat, by suffix and place before its anchor: runs of consecutive starts, at all places of the suffix."""
-    order = np.lexsort((-before, row))
-    row, start = row[order], -before[order]
-    cut = np.ones(len(row), bool)
-    cut[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(cut)
-    last = np.append(first[1:], len(row)) - 1 if len(first) else first
-    places = t.column("_places").combine_chunks().take(pa.array(row[first].astype(np.int64)))
-    many = np.asarray([len(x) for x in places.to_pylist()], np.int64)
-    at = np.asarray(places.flatten().to_numpy(zero_copy_only=False), np.int64)
-    took = pa.array(np.repeat(row[first], many).astype(np.int64))
-    return pa.record_batch([*(t.column(c).combine_chunks().take(took) for c in DOC), pa.array(at + np.repeat(start[first], many)), pa.array(at + np.repeat(start[last], many))], [*DOC, "_first", "_last"])
-
-
-def _merge(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Suffixes in order of keys -> RUNS of windows that occur elsewhere too. Whole keys are
-    compared at a time: what a batch cuts off waits for the next."""
-
-    def compare(t: pa.Table) -> pa.RecordBatch:
-        anchor, row, before, h = _windows_of(t, n)
-        order = np.lexsort((before, h))
-        same = np.asarray([len(x) > 1 for x in t.column("_places").to_pylist()], bool)[row]
-        equal = (h[order][1:] == h[order][:-1]) & (before[order][1:] == before[order][:-1]) & (anchor[row[order]][1:] == anchor[row[order]][:-1])
-        same[order[1:][equal]] = same[order[:-1][equal]] = True
-        return _runs(t, row[same], before[same])
+def _by_text(of, schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """of(symbols, _hits) of each text, with DOC after the first two columns."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                held.append(part)
-                if sum(b.num_rows for b in held) < 1024:
-                    continue
-                t = pa.Table.from_batches(held)
-                anchor = t.column("_anchor").to_numpy()
-                whole = int(np.searchsorted(anchor, anchor[-1]))
-                if whole:
-                    yield compare(t.slice(0, whole))
-                    held = t.slice(whole).combine_chunks().to_batches()
-        if held and sum(b.num_rows for b in held):
-            yield compare(pa.Table.from_batches(held))
+            for i in range(batch.num_rows):
+                a, b, *rest = of(symbols(batch.column("_text")[i].as_py())[1], batch.column("_hits")[i].as_py())
+                for at in range(0, len(a), 1 << 15):
+                    cut = slice(at, at + (1 << 15))
+                    one = [pa.array(np.full(len(a[cut]), batch.column(c)[i].as_py())) for c in DOC]
+                    yield pa.record_batch([pa.array(a[cut]), pa.array(b[cut]), *one, *(pa.array(r[cut]) for r in rest)], names)
 
     return run
 
 
-BLOCKS = "_anchor long, _block int, _core long, _hull long, _k long, _d1 long, _d2 long, _at long, _first long, _last long"
+BLOCKS = "_core long, _hull long, _k long, _d1 long, _d2 long, _first long, _last long"
 
 
 def _blocks(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each BLOCK consecutive windows of a suffix: hashes of the bytes that all of them have,
-    and of those that any has (null unless the suffix has all of the windows)."""
-    reach = n - GRAM
+    """Of each anchor in _hits, for each BLOCK consecutive passages of its side: a hash of the bytes
+    that all of them have, and one of what those that the text has span."""
+    reach, half = n - GRAM, (n - GRAM) // 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                t = pa.Table.from_batches([batch.slice(i, 256)])
-                anchor, lead, end, sums = aligned_sums(t, n)
-                at = t.column("_at").to_numpy()
-                for block, low in enumerate(range(0, reach + 1, BLOCK)):
-                    high = min(low + BLOCK, reach + 1) - 1  # columns of the first and last window
-                    some = np.flatnonzero((np.maximum(low, lead) <= np.minimum(high, end - n)))
-                    if not len(some):
-                        continue
-                    core = _mixed_with(sums[some, low + n] - sums[some, high], anchor[some], np.full(len(some), block))
-                    hull = _mixed_with(sums[some, high + n] - sums[some, low], anchor[some], np.full(len(some), block))
-                    part = (lead[some] > low) | (end[some] < high + n)
-                    took = pa.array(some.astype(np.int64))
-                    yield pa.record_batch([pa.array(anchor[some]), pa.array(np.full(len(some), block, np.int32)), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64), mask=part), *(t.column(c).combine_chunks().take(took) for c in DOC), pa.array(at[some]), pa.array(at[some] - reach + low), pa.array(at[some] - reach + high)], [c.split()[0] for c in BLOCKS.split(", ")])
+    def of(x: np.ndarray, found: list[dict]) -> tuple[np.ndarray, ...]:
+        anchor, at = (np.asarray([f[c] for f in found], np.int64) for c in ("_anchor", "_at"))
+        out = []
+        for block in range(-(-max(reach - half + 1, half) // BLOCK)):
+            side = at & 1
+            low = (at >> 1) - np.where(side == 1, half - 1, reach) + block * BLOCK
+            high = np.minimum(low + BLOCK - 1, (at >> 1) - np.where(side == 1, 0, half))
+            first, last = np.maximum(low, 0), np.minimum(high, len(x) - n)
+            some = np.flatnonzero((first <= last) & (low <= high))
+            low, high, first, last = low[some], high[some], first[some], last[some]
+            core = _with(_with(range_hashes(x, high, low + n, n), anchor[some]), np.full(len(some), block))
+            hull = _with(_with(range_hashes(x, first, last + n, n + BLOCK), first - low), last - low)
+            out.append((signed(core), signed(hull), first, last))
+        return tuple(np.concatenate(c) for c in zip(*out))
 
-    return run
+    return _by_text(of, BLOCKS)
 
 
-def _some_windows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The windows of the blocks in _wanted."""
+PASSAGES = "_core long, _passage long, _k long, _d1 long, _d2 long, _first long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                t = pa.Table.from_batches([batch.slice(i, 256)])
-                anchor, row, before, h = _windows_of(t, n)
-                wanted = np.zeros((t.num_rows, (n - GRAM) // BLOCK + 1), bool)
-                for r, blocks in enumerate(t.column("_wanted").to_pylist()):
-                    wanted[r, blocks] = True
-                keep = wanted[row, (n - GRAM - before) // BLOCK]
-                row, before, h = row[keep], before[keep], h[keep]
-                took = pa.array(row.astype(np.int64))
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(anchor[row]), *(t.column(c).combine_chunks().take(took) for c in DOC), pa.array(t.column("_at").to_numpy()[row] - before)], ["_window", "_anchor", *DOC, "_first"])
 
-    return run
+def _passages(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The passages of the blocks in _hits."""
+
+    def of(x: np.ndarray, found: list[dict]) -> tuple[np.ndarray, ...]:
+        core, first, last = (np.asarray([f[c] for f in found], np.int64) for c in ("_core", "_first", "_last"))
+        many = last - first + 1
+        start = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(core, many), signed(range_hashes(x, start, start + n, n)), start
+
+    return _by_text(of, PASSAGES)
+
+
+def _met(rows: DataFrame, key: str, what: str, *place: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, _hull, DOC, place, _first, _last): runs of starts in rows that share key and
+    _hull; and, of keys with several different _hull, a row (key, DOC, place) of each."""
+    groups = rows.groupBy(key, "_hull").agg(F.count("*").alias("_n"), F.min(F.struct(*DOC, *place)).alias("_one"))
+    groups = staged(groups, what)
+    runs = rows.join(groups.where("_n > 1").select(key, "_hull"), [key, "_hull"], "left_semi").select(*DOC, "_first", "_last")
+    several = groups.groupBy(key).agg(F.min("_hull").alias("_x"), F.max("_hull").alias("_y")).where("_x < _y").select(key)
+    return runs, groups.join(several, key, "left_semi").select(key, "_one.*")
+
+
+def _hits(rows: DataFrame, *columns: str) -> DataFrame:
+    """DOC and _hits, the columns of its rows."""
+    return rows.groupBy(*DOC).agg(F.collect_list(F.struct(*columns)).alias("_hits"))
+
+
+def repeated_runs(base: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """DOC, _first and _last starts of runs of passages that occur elsewhere too, of the texts of base
+    at the anchors in found (DOC, _hits of _anchor and _places)."""
+    contexts = staged(with_texts(base, found).mapInArrow(_contexts(n), CONTEXT), "contexts")
+    runs, differ = _met(contexts, "_anchor", "equal-contexts", "_at")
+    blocks = staged(with_texts(base, _hits(differ, "_anchor", "_at")).mapInArrow(_blocks(n), BLOCKS), "blocks")
+    more, differ = _met(blocks, "_core", "equal-blocks", "_first", "_last")
+    passages = staged(with_texts(base, _hits(differ, "_core", "_first", "_last")).mapInArrow(_passages(n), PASSAGES), "passages")
+    again = passages.groupBy("_core", "_passage").agg(F.count("*").alias("_n")).where("_n > 1").select("_core", "_passage")
+    last = passages.join(again, ["_core", "_passage"], "left_semi").select(*DOC, "_first", F.col("_first").alias("_last"))
+    return staged(runs.unionByName(more).unionByName(last), "runs")
 
 
 class Levels:
-    """The family: one table a level in a folder that outlives the batches, smallest first. Batches
-    added by add_batch must stay readable, as later ones may need their texts."""
+    """The family: one table of suffixes a level, smallest first, in a folder that outlives the batches.
+    The batches' rows must stay readable, as later ones may need their texts."""
 
     def __init__(self, spark: SparkSession, n: int, path: str | None = None):
         self.spark, self.n, self.path = spark, n, path or fresh_folder(spark, "levels")
         self.levels: list[tuple[int, str]] = []
-        #: Of each batch: its rows, its texts, those that no earlier batch has, and their keys.
+        #: Of each batch: its rows, its texts, those that no earlier batch has, and its runs.
         self.batches: list[tuple[DataFrame, DataFrame, DataFrame, DataFrame]] = []
 
     def add_batch(self, base: DataFrame) -> None:
-        """The rows of a batch (as keyed gives them): what it has in common with itself and with all earlier ones."""
+        """The rows of a batch (as keyed gives them): runs of what it has in common with itself and with
+        earlier ones, in both; and its suffixes as a new level."""
         texts = staged(classes(base), "texts")
-        anchors = _batch_anchors(base, self.n)
+        suffixes = base.select(*DOC, "_text").mapInArrow(_anchors(self.n), LEVEL)
         new = texts
         if self.batches:
             new = staged(texts.join(_union(b[1] for b in self.batches).select("_d1", "_d2"), ["_d1", "_d2"], "left_anti"), "new-texts")
-            anchors = staged(anchors.join(new.select(F.col("_first").alias("_k"), "_d1", "_d2"), DOC, "left_semi"), "new-anchors")
-            self.add(self._met(base, new, anchors))
+            suffixes = suffixes.join(new.select(F.col("_first").alias("_k"), "_d1", "_d2"), DOC, "left_semi")
+        name, level = self._written(suffixes)
+        value = F.struct("_anchor", "_places")
+        times = level.withColumn("_times", F.size("_places"))
+        shared = shared_anchors(times, within=True).select("_anchor")
+        if self.levels:
+            keys = level.select("_anchor").distinct()
+            earlier = staged(self.suffixes().join(keys, "_anchor", "left_semi"), "met-suffixes")  # the merge scan
+            shared = staged(shared.unionByName(earlier.select("_anchor")).distinct(), "shared")
+            there = _found(earlier, _union(b[2] for b in self.batches), value)
+            here = _found(level.join(shared, "_anchor", "left_semi"), new, value)
+            found = here.unionByName(there)
         else:
-            self.add(_suffixes_at(base, hits(anchors, shared_anchors(anchors, within=True), texts, F.col("_anchor")), self.n))
-        self.batches.append((base, texts, new, anchors))
-
-    def _met(self, base: DataFrame, new: DataFrame, anchors: DataFrame) -> DataFrame:
-        """The new texts' suffixes at keys that occur again anywhere, and those of earlier texts at keys that did not before."""
-        earlier = _union(b[3] for b in self.batches)
-        earlier = staged(earlier.join(anchors.select("_anchor").distinct(), "_anchor", "left_semi"), "met-anchors")
-        shared = staged(shared_anchors(earlier.unionByName(anchors), within=True), "shared")
-        fresh = shared.join(shared_anchors(earlier, within=True).select("_anchor"), "_anchor", "left_anti")
-        there = hits(earlier, fresh, _union(b[2] for b in self.batches), F.col("_anchor"))
-        here = hits(anchors, shared, new, F.col("_anchor"))
-        return _suffixes_at(base, here, self.n).unionByName(_suffixes_at(self.rows(), there, self.n))
+            found = hits(times, shared, texts, value)
+        self.batches.append((base, texts, new, repeated_runs(_union([base, *(b[0] for b in self.batches)]), found, self.n)))
+        self._add(name, level.count())
+
+    def _written(self, suffixes: DataFrame) -> tuple[str, DataFrame]:
+        """A table of suffixes in the order of keys; hot keys may be in several of its files."""
+        name = f"{self.path}/{fresh_folder(self.spark, 'level').rsplit('/', 1)[1]}"
+        suffixes.hint("rebalance", "_anchor").sortWithinPartitions("_anchor").write.parquet(name)
+        return name, self._read(name)
+
+    def _add(self, name: str, count: int) -> None:
+        """Levels that aren't twice as large as what comes are merged with it."""
+        while self.levels and self.levels[0][0] < 2 * count:
+            size, other = self.levels.pop(0)
+            merged, _ = self._written(self._read(name).unionByName(self._read(other)))
+            for old in (name, other):
+                dropped(self.spark, old)
+            name, count = merged, count + size
+        self.levels.insert(0, (count, name))
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(LEVEL).parquet(name)
+
+    def suffixes(self) -> DataFrame:
+        return _union(self._read(name) for _, name in self.levels)
 
     def rows(self) -> DataFrame:
         return _union(b[0] for b in self.batches)
@@ -268,56 +283,15 @@ class Levels:
         texts = _union(b[1].select("_d1", "_d2", "_copies") for b in self.batches)
         return texts if len(self.batches) == 1 else texts.groupBy("_d1", "_d2").agg(F.sum("_copies").alias("_copies"))
 
-    def add(self, suffixes: DataFrame) -> None:
-        """A batch's suffixes as a new level; levels that aren't twice as large as what comes are merged with it."""
-        name = f"{self.path}/{len(self.levels)}-{fresh_folder(self.spark, '').rsplit('-', 1)[1]}"
-        suffixes.write.parquet(name)
-        count = self.spark.read.parquet(name).count()
-        while self.levels and self.levels[0][0] < 2 * count:
-            size, other = self.levels.pop(0)
-            merged = f"{self.path}/m-{fresh_folder(self.spark, '').rsplit('-', 1)[1]}"
-            self._read(name).unionByName(self._read(other)).write.parquet(merged)
-            name, count = merged, count + size
-        self.levels.insert(0, (count, name))
+    def repeats(self) -> DataFrame:
+        """DOC, _first and _last starts of runs of passages that occur elsewhere in the family."""
+        return _union(b[3] for b in self.batches)
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SUFFIX).parquet(name)
 
-    def repeats(self) -> DataFrame:
-        """DOC, _first and _last starts of runs of windows that occur elsewhere in the family:
-        the levels' suffixes come together by anchor, in order, and are scanned once."""
-        rows = self._read(self.levels[0][1])
-        for _, name in self.levels[1:]:
-            rows = rows.unionByName(self._read(name))
-        counts = staged(rows.groupBy("_anchor").agg(F.count("*").alias("_n"), F.max(F.size("_places")).alias("_most")).where("_n > 1 or _most > 1"), "keys")
-        few, many = (counts.where(w).select("_anchor") for w in (f"_n <= {TOGETHER}", f"_n > {TOGETHER}"))
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        met = rows.join(few, "_anchor", "left_semi").repartition(parts, "_anchor").sortWithinPartitions("_anchor")
-        runs = met.mapInArrow(_merge(self.n), RUNS)
-        return runs if many.isEmpty() else runs.unionByName(self._hot(rows.join(many, "_anchor", "left_semi")))
-
-    def _hot(self, rows: DataFrame) -> DataFrame:
-        """RUNS among suffixes of keys with very many, with no key in one task: equal suffixes are told by
-        digests; of different ones, BLOCK windows at a time by the bytes they share and span; and window
-        by window only in blocks of which suffixes share the one and differ in the other."""
-        same, row = ["_anchor", "_lead", "_b1", "_b2"], ["_anchor", *DOC, "_at"]
-        light = rows.select(*row, "_places", (F.col("_at") - F.col("_from")).alias("_lead"), F.octet_length("_bytes").alias("_size"), F.xxhash64("_bytes").alias("_b1"), F.xxhash64(F.lit(7), "_bytes").alias("_b2"))
-        light = staged(light, "hot-suffixes")  # without the bytes, which only one of equal ones is compared by
-        groups = staged(light.groupBy(*same).agg(F.sum(F.size("_places")).alias("_n"), F.min(F.struct(*DOC, "_at")).alias("_one")), "equal-suffixes")
-        starts = light.join(groups.where("_n > 1").drop("_one"), same).select(*DOC, "_lead", "_size", F.explode("_places").alias("_p"))
-        whole = starts.where(F.col("_size") >= self.n).select(*DOC, (F.col("_p") - F.col("_lead")).alias("_first"), (F.col("_p") - F.col("_lead") + F.col("_size") - self.n).alias("_last"))
-        names = self.spark.createDataFrame([], SUFFIX).columns
-        ones = staged(rows.join(groups.select("_anchor", "_one.*"), row, "left_semi").select(*names), "different-suffixes")
-        blocks = staged(ones.mapInArrow(_blocks(self.n), BLOCKS), "blocks")
-        key = ["_anchor", "_block", "_core"]
-        alike = blocks.groupBy(*key).agg(F.count("*").alias("_n"), F.count("_hull").alias("_hulls"), F.min("_hull").alias("_x"), F.max("_hull").alias("_y")).where("_n > 1")
-        alike = staged(alike.select(*key, ((F.col("_hulls") == F.col("_n")) & (F.col("_x") == F.col("_y"))).alias("_equal")), "alike-blocks")
-        equal = blocks.join(alike.where("_equal"), key).select(*DOC, "_first", "_last")
-        wanted = blocks.join(alike.where("not _equal"), key).groupBy(*row).agg(F.collect_set("_block").alias("_wanted"))
-        windows = ones.join(wanted.hint("shuffle_hash"), row).select(*names, "_wanted").mapInArrow(_some_windows(self.n), "_window long, _anchor long, _k long, _d1 long, _d2 long, _first long")
-        windows = staged(windows, "hot-windows")
-        again = windows.groupBy("_window", "_anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("_window", "_anchor")
-        return whole.unionByName(equal).unionByName(windows.join(again, ["_window", "_anchor"]).select(*DOC, "_first", F.col("_first").alias("_last")))
+def _found(suffixes: DataFrame, texts: DataFrame, value: Column) -> DataFrame:
+    """DOC, _hits of the suffixes of each text's first row."""
+    first = texts.select(F.col("_first").alias("_k"), "_d1", "_d2")
+    return suffixes.groupBy(*DOC).agg(F.collect_list(value).alias("_hits")).join(first, DOC, "left_semi")
 
 
 def _removed(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -343,20 +317,6 @@ def _union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _batch_anchors(base: DataFrame, n: int) -> DataFrame:
-    return staged(base.select(*DOC, "_text").mapInArrow(_anchors(n), "_anchor long, _k long, _d1 long, _d2 long, _times long"), "anchors")
-
-
-def _suffixes_at(base: DataFrame, found: DataFrame, n: int) -> DataFrame:
-    return with_texts(base, found).mapInArrow(_suffixes(n), SUFFIX)
-
-
-def batch_suffixes(base: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """A single batch's level: the suffixes at keys that occur again within it. Levels.add_batch sees earlier batches too."""
-    anchors = _batch_anchors(base, n)
-    return _suffixes_at(base, hits(anchors, shared_anchors(anchors, within=True), texts, F.col("_anchor")), n)
-
-
 def repeat_digests(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id_col, n_bytes, n_removed, n_spans, kept_sha256, after the
     removal of every byte that a string of length bytes covers which starts elsewhere too, in
