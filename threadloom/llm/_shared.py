@@ -38,7 +38,15 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        dropped(df.sparkSession, df._folder)
 
 
 def dropped(spark: SparkSession, path: str) -> None:

@@ -6,9 +6,9 @@ new batch becomes a level: it is merge-scanned against the existing levels for k
 have, and levels of about equal size are merged into one, so that there are only logarithmically
 many and each suffix is rewritten as often.
 
-A passage around an anchor has 168 bytes before it or 232 from it on, so each anchor has two
-keys, of the 232 bytes on either side. Where a key occurs again, all passages around its anchors
-are compared, in three steps of hashes that any number of tasks can sum: by all that the passages
+A passage around an anchor has 168 bytes before it or 232 from it on, so each anchor has up to two
+keys, of the 232 bytes on either side. Where a key occurs again, the passages whose anchors it stands
+for (each passage has one) are compared, in three steps of hashes that any number of tasks can sum: by all that the passages
 of a side span; where that differs, BLOCK passages at a time, by the bytes that all of them have
 and by what they span; and one by one where the former are equal and the latter aren't. Of
 contexts that are equal as a whole, one goes on to the next step. No step holds a key's contexts
@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._anchors import CHUNK, DOC, classes, grams, hits, keyed, mixed, shared_anchors, signed, window_anchors, with_texts
-from ._shared import dropped, fresh_folder, staged
+from ._shared import drop, dropped, fresh_folder, staged
 
-#: Bytes of an anchor's hash; passages that are compared at a time.
+#: Bytes of an anchor's hash; passages that are compared at a time (fewer than 16).
 GRAM, BLOCK = 64, 14
-#: _places: twice the place of an anchor, and 1 more for the side from it on.
+#: Bits of how far before its anchor a passage starts. A packed place: twice the anchor's place (and 1 more for
+#: the side from it on), and how far before it the first and the last of its passages start.
+BITS = 12
 LEVEL = "_anchor long, _k long, _d1 long, _d2 long, _places array<long>"
 _values = np.random.default_rng(20).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -43,23 +45,32 @@ def symbols(text: str) -> tuple[bytes, np.ndarray]:
     return data, _values[np.frombuffer(data, np.uint8)]
 
 
-def side_keys(x: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(side, places, keys) of the anchors of x: side 0 has more than half of what a window of n
-    has besides the anchor before it, side 1 from it on. A place may come several times."""
+def side_keys(x: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, packed places) of the anchors of x: side 0 has more than half of what a window of n
+    has besides the anchor before it, side 1 from it on."""
     half = (n - GRAM) // 2
     size = n - half  # bytes that all windows of a side share
     for first in range(0, len(x) - n + 1, CHUNK):
         part = x[first : first + CHUNK + n - 1]
         h = grams(part, GRAM)
         for _, p, _ in window_anchors(part, GRAM, n):
-            p = np.unique(p)
+            p, u = np.unique(p, return_index=True)
+            v = np.append(u[1:], len(part) - n + 1) - 1  # the windows that have it as their anchor start in u..v
             for side, start in ((0, p - half), (1, p)):
-                there = (start >= 0) & (start + size <= len(part))
+                a, b = (np.maximum(u, p - half + 1), v) if side else (u, np.minimum(v, p - half))
+                there = a <= b
                 at = start[there]
                 key = h[at] * np.uint64(0xC2B2AE3D27D4EB4F)
                 for more in [*range(GRAM, size - GRAM, GRAM), size - GRAM]:
                     key = mixed(key + h[at + more])
-                yield side, p[there] + first, signed(mixed(key + np.uint64(side)))
+                far = ((p - a) << BITS) | (p - b)
+                yield signed(mixed(key + np.uint64(side))), ((2 * (p + first) + side) << 2 * BITS | far)[there]
+
+
+def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place, side, first and last start."""
+    mask, place = (1 << BITS) - 1, packed >> 2 * BITS + 1
+    return place, packed >> 2 * BITS & 1, place - (packed >> BITS & mask), place - (packed & mask)
 
 
 def _anchors(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -70,17 +81,12 @@ def _anchors(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             for at in range(0, batch.num_rows, 256):
                 part, found, places, sizes = batch.slice(at, 256), [], [], []
                 for text in part.column("_text"):
-                    some = [(k, 2 * p + side) for side, p, k in side_keys(symbols(text.as_py())[1], n)]
+                    some = list(side_keys(symbols(text.as_py())[1], n))
                     keys, where = (np.concatenate(x) for x in zip(*some)) if some else (np.zeros(0, np.int64),) * 2
-                    order = np.lexsort((where, keys))
-                    keys, where = keys[order], where[order]
-                    fresh = np.ones(len(keys), bool)
-                    fresh[1:] = (keys[1:] != keys[:-1]) | (where[1:] != where[:-1])  # chunks overlap
-                    keys, where = keys[fresh], where[fresh]
                     own, count = np.unique(keys, return_counts=True)
                     found.append(own)
                     sizes.append(count)
-                    places.append(where)
+                    places.append(where[np.argsort(keys, kind="stable")])
                 rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 ends = np.cumsum(np.concatenate([[0], *sizes]))
                 yield pa.record_batch([pa.array(np.concatenate(found), pa.int64()), *(part.column(c).take(rows) for c in DOC), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(places), pa.int64()))], ["_anchor", *DOC, "_places"])
@@ -114,108 +120,108 @@ def _with(h: np.ndarray, more: np.ndarray) -> np.ndarray:
     return mixed(h ^ (more.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
-CONTEXT = "_anchor long, _hull long, _k long, _d1 long, _d2 long, _at long, _first long, _last long"
+CONTEXT = "_key long, _hull long, _t long, _at long"
 
 
 def _contexts(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each anchor in _hits: the first and last start of the passages on its side, and the hash of all they span."""
-    reach, half = n - GRAM, (n - GRAM) // 2
+    """Of each anchor in _hits: the hash of all that the passages on its side span."""
 
     def of(x: np.ndarray, found: list[dict]) -> tuple[np.ndarray, ...]:
         at = np.asarray([p for f in found for p in f["_places"]], np.int64)
         anchor = np.repeat(np.asarray([f["_anchor"] for f in found], np.int64), [len(f["_places"]) for f in found])
-        place, side = at >> 1, at & 1
-        first = np.maximum(0, place - np.where(side == 1, half - 1, reach))
-        last = np.minimum(place - np.where(side == 1, 0, half), len(x) - n)
-        hull = range_hashes(x, first, last + n, reach + n)
-        return anchor, signed(_with(_with(hull, place - first), place - last)), at, first, last
+        place, _, first, last = unpacked(at)
+        hull = range_hashes(x, first, last + n, 2 * n)
+        return anchor, signed(_with(_with(hull, place - first), place - last)), at
 
-    return _by_text(of, CONTEXT)
+    return _by_text(of)
 
 
-def _by_text(of, schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """of(symbols, _hits) of each text, with DOC after the first two columns."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def _by_text(of) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """CONTEXT rows: of(symbols, _hits) gives key, hash and place of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b, *rest = of(symbols(batch.column("_text")[i].as_py())[1], batch.column("_hits")[i].as_py())
+                a, b, c = of(symbols(batch.column("_text")[i].as_py())[1], batch.column("_hits")[i].as_py())
                 for at in range(0, len(a), 1 << 15):
                     cut = slice(at, at + (1 << 15))
-                    one = [pa.array(np.full(len(a[cut]), batch.column(c)[i].as_py())) for c in DOC]
-                    yield pa.record_batch([pa.array(a[cut]), pa.array(b[cut]), *one, *(pa.array(r[cut]) for r in rest)], names)
+                    yield pa.record_batch([pa.array(a[cut]), pa.array(b[cut]), pa.array(np.full(len(a[cut]), batch.column("_t")[i].as_py())), pa.array(c[cut])], ["_key", "_hull", "_t", "_at"])
 
     return run
 
 
-BLOCKS = "_core long, _hull long, _k long, _d1 long, _d2 long, _first long, _last long"
-
-
 def _blocks(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each anchor in _hits, for each BLOCK consecutive passages of its side: a hash of the bytes
-    that all of them have, and one of what those that the text has span."""
-    reach, half = n - GRAM, (n - GRAM) // 2
+    """Of each anchor in _hits, for each BLOCK consecutive passages around it: a hash of the bytes that any
+    BLOCK passages there have, and one of what its own span. _at: 16 times the first start, and how many more there are."""
+    reach = n - GRAM
 
     def of(x: np.ndarray, found: list[dict]) -> tuple[np.ndarray, ...]:
-        anchor, at = (np.asarray([f[c] for f in found], np.int64) for c in ("_anchor", "_at"))
+        key, at = (np.asarray([f[c] for f in found], np.int64) for c in ("_key", "_at"))
+        place, _, start, end = unpacked(at)
         out = []
-        for block in range(-(-max(reach - half + 1, half) // BLOCK)):
-            side = at & 1
-            low = (at >> 1) - np.where(side == 1, half - 1, reach) + block * BLOCK
-            high = np.minimum(low + BLOCK - 1, (at >> 1) - np.where(side == 1, 0, half))
-            first, last = np.maximum(low, 0), np.minimum(high, len(x) - n)
-            some = np.flatnonzero((first <= last) & (low <= high))
+        for block in range(reach // BLOCK + 1):
+            low = place - reach + block * BLOCK
+            high = np.minimum(low + BLOCK - 1, place)
+            first, last = np.maximum(low, start), np.minimum(high, end)
+            some = np.flatnonzero(first <= last)
             low, high, first, last = low[some], high[some], first[some], last[some]
-            core = _with(_with(range_hashes(x, high, low + n, n), anchor[some]), np.full(len(some), block))
-            hull = _with(_with(range_hashes(x, first, last + n, n + BLOCK), first - low), last - low)
-            out.append((signed(core), signed(hull), first, last))
+            core = _with(_with(range_hashes(x, high, low + n, n), key[some]), np.full(len(some), block))
+            hull = _with(_with(range_hashes(x, first, last + n, 2 * n), first - low), last - low)
+            out.append((signed(core), signed(hull), first << 4 | last - first))
         return tuple(np.concatenate(c) for c in zip(*out))
 
-    return _by_text(of, BLOCKS)
-
-
-PASSAGES = "_core long, _passage long, _k long, _d1 long, _d2 long, _first long"
+    return _by_text(of)
 
 
 def _passages(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The passages of the blocks in _hits."""
+    """The passages of the blocks in _hits. _at: their starts, times 16."""
 
     def of(x: np.ndarray, found: list[dict]) -> tuple[np.ndarray, ...]:
-        core, first, last = (np.asarray([f[c] for f in found], np.int64) for c in ("_core", "_first", "_last"))
-        many = last - first + 1
+        core, at = (np.asarray([f[c] for f in found], np.int64) for c in ("_key", "_at"))
+        first, many = at >> 4, (at & 15) + 1
         start = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(core, many), signed(range_hashes(x, start, start + n, n)), start
+        return np.repeat(core, many), signed(range_hashes(x, start, start + n, n)), start << 4
 
-    return _by_text(of, PASSAGES)
+    return _by_text(of)
 
 
-def _met(rows: DataFrame, key: str, what: str, *place: str) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, _hull, DOC, place, _first, _last): runs of starts in rows that share key and
-    _hull; and, of keys with several different _hull, a row (key, DOC, place) of each."""
-    groups = rows.groupBy(key, "_hull").agg(F.count("*").alias("_n"), F.min(F.struct(*DOC, *place)).alias("_one"))
+def _met(rows: DataFrame, what: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of CONTEXT rows: those (_t, _at) that share _key and _hull; and, of keys with several different
+    _hull, a row (_t, _key, _at) of each; and the groups, which the last is read from."""
+    groups = rows.groupBy("_key", "_hull").agg(F.count("*").alias("_n"), F.min(F.struct("_t", "_at")).alias("_one"))
     groups = staged(groups, what)
-    runs = rows.join(groups.where("_n > 1").select(key, "_hull"), [key, "_hull"], "left_semi").select(*DOC, "_first", "_last")
-    several = groups.groupBy(key).agg(F.min("_hull").alias("_x"), F.max("_hull").alias("_y")).where("_x < _y").select(key)
-    return runs, groups.join(several, key, "left_semi").select(key, "_one.*")
-
-
-def _hits(rows: DataFrame, *columns: str) -> DataFrame:
-    """DOC and _hits, the columns of its rows."""
-    return rows.groupBy(*DOC).agg(F.collect_list(F.struct(*columns)).alias("_hits"))
+    runs = staged(rows.join(groups.where("_n > 1").select("_key", "_hull"), ["_key", "_hull"], "left_semi").select("_t", "_at"), "runs")
+    drop(rows)
+    several = groups.groupBy("_key").agg(F.min("_hull").alias("_x"), F.max("_hull").alias("_y")).where("_x < _y").select("_key")
+    return runs, groups.join(several, "_key", "left_semi").select("_one._t", "_key", "_one._at"), groups
 
 
 def repeated_runs(base: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """DOC, _first and _last starts of runs of passages that occur elsewhere too, of the texts of base
     at the anchors in found (DOC, _hits of _anchor and _places)."""
+    found = staged(found.withColumn("_t", F.monotonically_increasing_id()), "found")
+    number = found.select("_t", *DOC)
+
+    def hashed(differ: DataFrame, how, what: str) -> DataFrame:
+        of = differ.groupBy("_t").agg(F.collect_list(F.struct("_key", "_at")).alias("_hits")).join(number, "_t")
+        return staged(with_texts(base, of).mapInArrow(how(n), CONTEXT), what)
+
     contexts = staged(with_texts(base, found).mapInArrow(_contexts(n), CONTEXT), "contexts")
-    runs, differ = _met(contexts, "_anchor", "equal-contexts", "_at")
-    blocks = staged(with_texts(base, _hits(differ, "_anchor", "_at")).mapInArrow(_blocks(n), BLOCKS), "blocks")
-    more, differ = _met(blocks, "_core", "equal-blocks", "_first", "_last")
-    passages = staged(with_texts(base, _hits(differ, "_core", "_first", "_last")).mapInArrow(_passages(n), PASSAGES), "passages")
-    again = passages.groupBy("_core", "_passage").agg(F.count("*").alias("_n")).where("_n > 1").select("_core", "_passage")
-    last = passages.join(again, ["_core", "_passage"], "left_semi").select(*DOC, "_first", F.col("_first").alias("_last"))
-    return staged(runs.unionByName(more).unionByName(last), "runs")
+    whole, differ, groups = _met(contexts, "equal-contexts")
+    blocks = hashed(differ, _blocks, "blocks")
+    drop(groups)
+    some, differ, groups = _met(blocks, "equal-blocks")
+    passages = hashed(differ, _passages, "passages")
+    drop(groups)
+    again = passages.groupBy("_key", "_hull").agg(F.count("*").alias("_n")).where("_n > 1").select("_key", "_hull")
+    one = passages.join(again, ["_key", "_hull"], "left_semi").select("_t", "_at")
+    place = F.shiftright("_at", 2 * BITS + 1)
+    far = lambda bits: place - F.shiftright("_at", bits).bitwiseAND(F.lit((1 << BITS) - 1))
+    start = F.shiftright("_at", 4)
+    runs = whole.select("_t", far(BITS).alias("_first"), far(0).alias("_last")).unionByName(some.unionByName(one).select("_t", start.alias("_first"), (start + F.col("_at").bitwiseAND(F.lit(15))).alias("_last")))
+    out = staged(runs.join(number, "_t").select(*DOC, "_first", "_last"), "runs")
+    drop(passages, whole, some, found)
+    return out
 
 
 class Levels:
@@ -331,8 +337,8 @@ def repeat_digests(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
 
 def batch_digests(batches: list[DataFrame], *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """repeat_digests of all batches' rows together, as the family finds it batch after batch."""
-    if length < 2 * GRAM:
-        raise ValueError(f"a passage has at least {2 * GRAM} bytes")
+    if not 2 * GRAM <= length < 1 << BITS:
+        raise ValueError(f"a passage has {2 * GRAM} to {(1 << BITS) - 1} bytes")
     family = Levels(batches[0].sparkSession, length)
     for docs in batches:
         family.add_batch(keyed(docs, id_col, text_col))
