@@ -72,6 +72,18 @@ def test_nearest(spark, monkeypatch):
     assert [r["vec_id"] for r in few.collect()].__len__() == 2
 
 
+def test_vectors_of_other_lengths(spark):
+    """Vectors of a rare length are searched and linked among themselves; equal ones count each; ties go to smaller ids."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)], 0) for i in range(60)]
+    rows += [(100 + i, [1.0, 2.0, 3.0 + 0.01 * i], 0) for i in range(3)] + [(200 + i, [1.0, 2.0, 3.0], i % 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.link_vectors(df).collect()}
+    assert len(got) == len(rows) and got[100] == (5, 100, True) and got[204] == (5, 100, False) and got[201] == (2, 201, True) and got[203] == (2, 201, False)
+    found = [(r["rank"], r["vec_id"]) for r in neighbours.nearest(df, lambda i: i % 20 == 0).where("query_id = 100").orderBy("rank").collect()]
+    assert found == [(n + 1, i) for n, i in enumerate([102, 101, 200, 201, 202, 203, 204, 205])]
+
+
 def test_nearest_in_many_lists(spark, monkeypatch):
     for name, value in {"LIST_ROWS": 16, "SHARD_ROWS": 40, "QUERY_ROWS": 5}.items():
         monkeypatch.setattr(neighbours, name, value)

@@ -285,6 +285,20 @@ def test_mixing(spark, docs):
     assert out.columns == docs.columns and out.count() == taken
 
 
+def test_mixing_repeated_rows(spark):
+    """Where the cut falls among equal rows, the mix has as many rows as the plan says."""
+    rows = [(5, "a b c", "x")] * 40 + [(6, "d e", "x")] * 7 + [(None, "f g", None)] * 9 + [(None, None, "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want: dict = {}
+    for r in mixing.mix_sources(docs).collect():
+        want[r["doc_id"], r["size"]] = want.get((r["doc_id"], r["size"]), 0) + r["times"]
+    got: dict = {}
+    for r in mixing.mixed(docs).collect():
+        k = (r["doc_id"], len((r["text"] or "").split()))
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randint(1, 40), "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(3000)]

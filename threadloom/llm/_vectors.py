@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, *more: str) -> DataFrame:
-    """_id, _v and more columns, of rows with an id and a vector of the commonest length that
-    has only finite components, not all zero."""
+    """_id, _v and more columns, of rows with an id and a vector that has only finite components, not all zero."""
     ok = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector_col, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v"), *more).where(F.col("_id").isNotNull() & ok.alias("_ok"))
-    size = rows.groupBy(F.size("_v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).first()
-    return rows.where(F.size("_v") == (size["n"] if size else 0))
+    return df.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v"), *more).where(F.col("_id").isNotNull() & ok.alias("_ok"))
+
+
+def by_length(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their matrix) for each length of the vectors of a batch."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    rows = [np.flatnonzero(sizes == n) for n in np.unique(sizes)]
+    return [(r, matrix(column.take(pa.array(r)))) for r in rows]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -92,10 +92,29 @@ def _cut(queued: DataFrame, finish, share: float, passes: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as the mix holds it, with docs' own columns."""
+    """The documents of the mix, each as often as the mix holds it, with docs' own columns.
+
+    Rows with one id, source and size stand side by side in the queue. Where the cut falls among
+    them, as many rows as the plan says are taken each number of times, whichever they are. Null ids,
+    sources and texts are as in mix_sources; an empty table gives no rows; columns' names can't clash.
+    """
     id_col = options.get("id_col", "doc_id")
-    source_col, text_col = options.get("source_col", "source"), options.get("text_col", "text")
-    plan = mix_sources(docs, **options).where("times > 0").select(F.col(id_col).alias("_mid"), F.col(source_col).alias("_msource"), F.col("size").alias("_msize"), F.col("times").alias("_mtimes")).dropDuplicates(["_mid", "_msource", "_msize"])
+    source_col, text_col, passes = options.get("source_col", "source"), options.get("text_col", "text"), options.get("passes", 2)
+    key = ["_mid", "_msource", "_msize"]
+    plan = mix_sources(docs, **options).select(F.col(id_col).alias("_mid"), F.col(source_col).alias("_msource"), F.col("size").alias("_msize"), "times")
+    upto = [F.count(F.when(F.col("times") >= k, 1)).alias(f"_upto{k}") for k in range(passes, 0, -1)]
+    plan = staged(plan.groupBy(*key).agg(F.min("times").alias("_low"), F.max("times").alias("_high"), *upto).where("_high > 0"), "mix-plan")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), word_count(F.col(text_col)).alias("_n"))
     on = F.col("_i").eqNullSafe(F.col("_mid")) & F.col("_s").eqNullSafe(F.col("_msource")) & (F.col("_n") == F.col("_msize"))
-    return rows.join(plan.hint("shuffle_hash"), on).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_mtimes"))).alias("_copy")).select("_row.*")
+    rows = rows.join(plan.hint("shuffle_hash"), on)
+    repeated = lambda df, times: df.select("_row", F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).select("_row.*")
+    taken = repeated(rows.where("_low = _high"), F.col("_high").cast("int"))
+    cut = staged(rows.where("_low < _high").withColumn("_part", F.spark_partition_id()), "mix-cut")
+    if cut.isEmpty():
+        return taken
+    # Numbers within a part, and after those of the parts before: a group is never in one task for its rows.
+    parts = cut.groupBy(*key, "_part").agg(F.count("*").alias("_in"))
+    before = parts.withColumn("_from", F.sum("_in").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")).drop("_in")
+    numbered = cut.withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.lit(0)))).join(before.select(*(F.col(c).alias(f"_b{c}") for c in key), F.col("_part").alias("_bpart"), "_from"), F.col("_mid").eqNullSafe(F.col("_b_mid")) & F.col("_msource").eqNullSafe(F.col("_b_msource")) & (F.col("_msize") == F.col("_b_msize")) & (F.col("_part") == F.col("_bpart")))
+    times = sum(((F.col("_nth") + F.col("_from") <= F.col(f"_upto{k}")).cast("int") for k in range(1, passes + 1)), F.lit(0))
+    return taken.unionByName(repeated(numbered, times))

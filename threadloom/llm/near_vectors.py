@@ -1,12 +1,14 @@
 """Near-duplicate vectors by NN-descent.
 
-Neighbour lists start from random hyperplanes: vectors of a label whose signs agree in a table
-share a cell, and cells are compared in blocks. Lists are then refined through neighbours of
-neighbours, found in a join on the vector between. A dense group would saturate any list; so
-lists are not what links are counted from: every block counts the links of its rows, whole,
-and sends only the counts and the groups that the links make. A pair that several cells hold
-counts in the first table they share. Recall is audited against all rows of the label, and
-more tables are laid when it is short of what is wanted.
+Equal vectors of a label are one, with their number. Neighbour lists start from random
+hyperplanes: vectors of a label whose signs agree in a table share a cell, and cells are compared
+in blocks. Lists are then refined through neighbours of neighbours, in joins on the vector
+between, again and again from the lists that changed, until a round finds no new link; a list
+full of links is doubled. A dense group would saturate any list; so lists are not what links are
+counted from: every block counts the links of its rows, whole, and sends only the counts and
+the groups that the links make. A pair that several cells hold counts in the first table they
+share. The count of links is audited against all rows of the label, and more tables are laid when
+it is short of what is wanted; in the end, one cell holds the whole label.
 """
 
 from __future__ import annotations
@@ -16,22 +18,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
 from ._shared import staged
-from ._vectors import matrix, usable
+from ._vectors import by_length, matrix, usable
 
 #: Vectors of a cell on average, and of a block at most; neighbours in a list and the least
 #: cosine of one; vectors that recall is audited on; chance that the tables miss a pair at the threshold.
 CELL, BLOCK, LIST, FLOOR, AUDITED, MISSED = 192, 1024, 8, 0.7, 64, 1e-4
 MOST_BITS = 24
+#: Times the first number of tables up to which there are more of them; beyond, a label is one cell.
+MORE = 8
 
 
 def tables(count: int, threshold: float, more: int) -> tuple[int, int]:
     """Bits of a code and number of tables, for a label with count vectors."""
-    bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, count) / CELL))))
+    bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, count) / CELL)))) if more <= MORE else 0
     alike = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, 1 if bits == 0 else more * math.ceil(math.log(MISSED) / math.log(1 - alike))
 
@@ -41,19 +45,19 @@ def _codes(threshold: float, more: int) -> Callable[[Iterator[pa.RecordBatch]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, out = matrix(batch.column("_v")), [[]] * batch.num_rows
-            counts = batch.column("_n").to_numpy()
-            for n in np.unique(counts):
-                rows = np.flatnonzero(counts == n)
-                bits, count = tables(int(n), threshold, more)
-                codes = np.zeros((len(rows), count), dtype=np.int32)
-                for t in range(count if bits else 0):
-                    if (t, v.shape[1]) not in planes:
-                        planes[t, v.shape[1]] = np.random.default_rng(1000 + t).standard_normal((MOST_BITS, v.shape[1]))
-                    codes[:, t] = (v[rows] @ planes[t, v.shape[1]][:bits].T > 0) @ (1 << np.arange(bits))
-                for r, c in zip(rows.tolist(), codes.tolist()):
-                    out[r] = c
-            yield pa.record_batch([batch.column("_id"), batch.column("_label"), batch.column("_v"), pa.array(out, pa.list_(pa.int32()))], ["_id", "_label", "_v", "_codes"])
+            out, counts = [[]] * batch.num_rows, batch.column("_n").to_numpy()
+            for same, v in by_length(batch.column("_v")):
+                for n in np.unique(counts[same]):
+                    some = np.flatnonzero(counts[same] == n)
+                    bits, count = tables(int(n), threshold, more)
+                    codes = np.zeros((len(some), count), dtype=np.int32)
+                    for t in range(count if bits else 0):
+                        if (t, v.shape[1]) not in planes:
+                            planes[t, v.shape[1]] = np.random.default_rng(1000 + t).standard_normal((MOST_BITS, v.shape[1]))
+                        codes[:, t] = (v[some] @ planes[t, v.shape[1]][:bits].T > 0) @ (1 << np.arange(bits))
+                    for r, c in zip(same[some].tolist(), codes.tolist()):
+                        out[r] = c
+            yield pa.record_batch([batch.column("_id"), batch.column("_label"), batch.column("_v"), batch.column("_w"), pa.array(out, pa.list_(pa.int32()))], ["_id", "_label", "_v", "_w", "_codes"])
 
     return run
 
@@ -92,7 +96,7 @@ def _block(threshold: float) -> Callable[[tuple, pa.Table], pa.Table]:
         k = min(LIST, len(ids) - 1)
         order = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(ids), 0), np.int64)
         near = [[(int(ids[o]), float(cos[r, o])) for o in row if cos[r, o] >= FLOOR] for r, row in enumerate(order)]
-        counts = new.sum(axis=1)
+        counts = new @ rows.column("_w").to_numpy()
         keep = [r for r in range(len(ids)) if near[r] or counts[r]]
         return pa.table([pa.array(ids[keep], pa.int64()), pa.array(counts[keep], pa.int64()), pa.array(least[keep], pa.int64()), pa.array([[n for n, _ in near[r]] for r in keep], pa.list_(pa.int64())), pa.array([[c for _, c in near[r]] for r in keep], pa.list_(pa.float32()))], ["_id", "_links", "_least", "_near", "_cos"])
 
@@ -100,39 +104,71 @@ def _block(threshold: float) -> Callable[[tuple, pa.Table], pa.Table]:
 
 
 def _between(threshold: float) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Links among the neighbours of one vector that share no cell of any table."""
+    """Pairs of linked neighbours of one vector, and whether they are apart: in no common cell of any table."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         ids, v, codes = rows.column("_id").to_numpy(), matrix(rows.column("_v")), matrix(rows.column("_codes")).astype(np.int32)
         v /= np.linalg.norm(v, axis=1)[:, None]
-        a, b = np.nonzero(np.triu(v @ v.T >= threshold, 1))
-        apart = ~(codes[a] == codes[b]).any(axis=1) & (ids[a] != ids[b]) if len(a) else np.zeros(0, bool)
-        a, b = ids[a[apart]], ids[b[apart]]
-        return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+        cos = v @ v.T
+        a, b = np.nonzero(np.triu(cos >= threshold, 1))
+        apart = ~(codes[a] == codes[b]).any(axis=1) if len(a) else np.zeros(0, bool)
+        return pa.table([pa.array(np.minimum(ids[a], ids[b]), pa.int64()), pa.array(np.maximum(ids[a], ids[b]), pa.int64()), pa.array(cos[a, b].astype(np.float32)), pa.array(apart)], ["a", "b", "_cos", "_apart"])
 
     return run
 
 
+def _descend(found: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that no cell has, from neighbours of neighbours, round by round."""
+    best = lambda size: F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("_cos", "_id")))), 1, size)
+    near = found.select(F.col("_id").alias("_mid"), F.explode(F.arrays_zip("_near", "_cos")).alias("_n")).select("_mid", F.col("_n._near").alias("_id"), F.col("_n._cos").alias("_cos"))
+    lists = staged(near.groupBy("_mid").agg(best(LIST).alias("_best")).withColumn("_size", F.lit(LIST)), "lists")
+    active, links = lists, None
+    while True:
+        pairs = active.where(F.size("_best") > 1).select("_mid", F.explode("_best._id").alias("_id"))
+        met = pairs.join(coded.select("_id", "_v", "_codes"), "_id").groupBy("_mid").applyInArrow(_between(threshold), "a long, b long, _cos float, _apart boolean")
+        met = staged(met.groupBy("a", "b").agg(F.max("_cos").alias("_cos"), F.max("_apart").alias("_apart")), "descent")
+        new = met.where("_apart").select("a", "b")
+        new = new if links is None else staged(new.join(links, ["a", "b"], "left_anti"), "new-links")
+        if new.isEmpty():
+            return new if links is None else links
+        links = staged(new if links is None else links.unionByName(new), "descent-links")
+        full = (F.size("_best") == F.col("_size")) & (F.element_at("_best", -1)["_cos"] >= threshold)
+        lists = lists.withColumn("_size", F.when(full, 2 * F.col("_size")).otherwise(F.col("_size")))
+        ends = met.select(F.col("a").alias("_mid"), F.col("b").alias("_id"), "_cos").unionByName(met.select(F.col("b").alias("_mid"), F.col("a").alias("_id"), "_cos"))
+        own = lists.select("_mid", F.explode("_best").alias("_b")).select("_mid", "_b._id", "_b._cos")
+        grown = own.unionByName(ends.join(lists.select("_mid"), "_mid", "left_semi")).groupBy("_mid", "_id").agg(F.max("_cos").alias("_cos"))
+        sizes = lists.select("_mid", "_size", F.col("_best._id").alias("_old"))
+        ranked = grown.join(sizes, "_mid").withColumn("_rank", F.row_number().over(Window.partitionBy("_mid").orderBy(F.desc("_cos"), F.desc("_id")))).where("_rank <= _size")
+        lists = staged(ranked.groupBy("_mid").agg(F.reverse(F.array_sort(F.collect_set(F.struct("_cos", "_id")))).alias("_best"), F.max("_size").alias("_size"), F.first("_old").alias("_old")), "lists")
+        active = lists.where(F.array_sort("_best._id") != F.array_sort("_old"))
+        lists = lists.drop("_old")
+
+
 def _audit(rows: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the links of at most AUDITED linked vectors that were found."""
-    some = found.where("_links > 0").orderBy(F.xxhash64("_id"), "_id").limit(AUDITED)
-    known = {r["_id"]: r["_links"] for r in some.collect()}
-    if not known:
-        return 1.0
-    queries = rows.join(F.broadcast(some.select("_id")), "_id").select("_id", "_label", "_v").toArrow()
-    sent = rows.sparkSession.sparkContext.broadcast((queries.column("_id").to_numpy(), np.asarray(queries.column("_label").to_pylist()), matrix(queries.column("_v"))))
+    """How well the counts of links agree, with those counted among all rows, of AUDITED vectors by hash of the
+    id and of AUDITED that have links."""
+    order = lambda df: df.orderBy(F.xxhash64("_id"), "_id").limit(AUDITED).select("_id")
+    some = staged(order(rows).unionByName(order(found)).distinct(), "audited")  # at most 2 * AUDITED rows
+    known = {r["_id"]: r["_links"] for r in some.join(found, "_id").collect()}
+    queries = rows.join(F.broadcast(some), "_id").select("_id", "_label", "_v").toArrow()
+    vectors = [np.asarray(v, np.float64) for v in queries.column("_v").to_pylist()]
+    sent = rows.sparkSession.sparkContext.broadcast((queries.column("_id").to_numpy(), queries.column("_label").to_pylist(), vectors))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, label, q = sent.value
-        q = q / np.linalg.norm(q, axis=1)[:, None]
+        own, label, vectors = sent.value
         for batch in batches:
-            if batch.num_rows:
-                v = matrix(batch.column("_v"))
-                hit = (q @ (v / np.linalg.norm(v, axis=1)[:, None]).T >= threshold) & (label[:, None] == np.asarray(batch.column("_label").to_pylist())[None]) & (own[:, None] != batch.column("_id").to_numpy()[None])
-                yield pa.record_batch([pa.array(own, pa.int64()), pa.array(hit.sum(axis=1), pa.int64())], ["_id", "n"])
+            total, labels = np.zeros(len(own), np.int64), np.asarray(batch.column("_label").to_pylist(), object)
+            for same, v in by_length(batch.column("_v")):
+                v /= np.linalg.norm(v, axis=1)[:, None]
+                weight, ids = batch.column("_w").to_numpy()[same], batch.column("_id").to_numpy()[same]
+                for i, q in enumerate(vectors):
+                    if len(q) == v.shape[1]:
+                        hit = (v @ (q / np.linalg.norm(q)) >= threshold) & (labels[same] == label[i])
+                        total[i] += (weight - (ids == own[i])) @ hit
+            yield pa.record_batch([pa.array(own, pa.int64()), pa.array(total, pa.int64())], ["_id", "n"])
 
-    truth = rows.select("_id", "_label", "_v").mapInArrow(count, "_id long, n long").groupBy("_id").agg(F.sum("n").alias("n")).collect()
-    return sum(min(known[t["_id"]], t["n"]) for t in truth) / max(1, sum(t["n"] for t in truth))
+    truth = {r["_id"]: r["n"] for r in rows.mapInArrow(count, "_id long, n long").groupBy("_id").agg(F.sum("n").alias("n")).collect()}
+    return 1 - sum(abs(known.get(i, 0) - n) for i, n in truth.items()) / max(1, sum(truth.values()))
 
 
 def link_vectors(vectors: DataFrame, *, threshold: float = 0.93, wanted: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -140,23 +176,28 @@ def link_vectors(vectors: DataFrame, *, threshold: float = 0.93, wanted: float =
     kept (id_col = component_id), of links between vectors of one label, which isn't null,
     with cosine >= threshold.
 
-    Vectors that are null, zero, of another length than the commonest or with null or
-    non-finite components link with nothing and are kept, as are those with a null label. A
+    Vectors that are null, zero or with null or non-finite components link with nothing and are kept, as
+    are those with a null label; vectors of different lengths don't link with each other. A
     null id is a row of its own without links, with a null component. An id that repeats is
     one vector: its first usable one. An empty table gives no rows; other columns are ignored.
     """
     ok = usable(vectors.select(F.col(id_col).alias("_i"), F.col(vector_col).alias("_vec"), F.col(label_col).cast("string").alias("_label")), "_i", "_vec", "_label").where("_label is not null")
     ids = vectors.select(F.col(id_col).cast("long").alias(id_col))
-    once = ok.groupBy("_id").agg(F.min(F.struct("_label", "_v")).alias("_x")).select("_id", "_x._label", "_x._v")
-    once = staged(once, "vectors")
+    ok = ok.withColumn("_label", F.concat(F.size("_v").cast("string"), F.lit(":"), "_label"))
+    once = staged(ok.groupBy("_id").agg(F.min(F.struct("_label", "_v")).alias("_x")).select("_id", "_x._label", "_x._v"), "ids")
+    same = once.groupBy("_label", "_v").agg(F.min("_id").alias("_to"), F.count("*").alias("_w"))
+    same = staged(same, "equal-vectors")
+    copies = staged(once.join(same.where("_w > 1"), ["_label", "_v"]).where("_id <> _to").select("_id", "_to"), "copies")
+    once = same.select(F.col("_to").alias("_id"), "_label", "_v", "_w")
     sized = once.join(once.groupBy("_label").agg(F.count("*").alias("_n")), "_label")
     more = 1
     while True:
         links, edges = _links(sized, threshold, more)
-        if more >= 8 or _audit(once, links, threshold) >= wanted:
+        if more > MORE or _audit(once, links, threshold) >= wanted:
             break
         more *= 2
-    least = components(edges)
+    links = links.unionByName(copies.join(links.withColumnRenamed("_id", "_to"), "_to").select("_id", "_links"))
+    least = components(edges.unionByName(copies.select(F.col("_id").alias("a"), F.col("_to").alias("b"))))
     each = ids.where(F.col(id_col).isNotNull()).distinct().unionByName(ids.where(F.col(id_col).isNull()))
     out = each.join(links.withColumnRenamed("_id", id_col), id_col, "left").join(least.withColumnRenamed("id", id_col), id_col, "left")
     return out.select(id_col, F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", id_col).alias("component_id"), F.coalesce(F.coalesce("component_id", id_col) == F.col(id_col), F.lit(True)).alias("kept"))
@@ -165,21 +206,19 @@ def link_vectors(vectors: DataFrame, *, threshold: float = 0.93, wanted: float =
 def _links(sized: DataFrame, threshold: float, more: int) -> tuple[DataFrame, DataFrame]:
     """_id and _links of vectors with links; edges (a, b) that connect what the links connect."""
     kind = sized.schema["_v"].dataType.simpleString()
-    coded = staged(sized.select("_id", "_label", "_v", "_n").mapInArrow(_codes(threshold, more), f"_id long, _label string, _v {kind}, _codes array<int>"), "codes")
-    cells = coded.select("_id", "_label", "_v", "_codes", F.posexplode("_codes").alias("_table", "_code"))
+    coded = staged(sized.select("_id", "_label", "_v", "_w", "_n").mapInArrow(_codes(threshold, more), f"_id long, _label string, _v {kind}, _w long, _codes array<int>"), "codes")
+    cells = coded.select("_id", "_label", "_v", "_w", "_codes", F.posexplode("_codes").alias("_table", "_code"))
     full = coded.select("_label", F.posexplode("_codes").alias("_table", "_code")).groupBy("_label", "_table", "_code").agg(F.count("*").alias("_in")).where("_in > 1")
     cells = cells.join(full, ["_label", "_table", "_code"]).withColumn("_blocks", F.ceil(F.col("_in") / BLOCK).cast("int")).withColumn("_sub", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
     paired = cells.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_i", F.least("_sub", "_other")).withColumn("_j", F.greatest("_sub", "_other"))
     keys = ["_label", "_code", "_table", "_i", "_j"]
-    found = staged(paired.select(*keys, "_id", "_sub", "_v", "_codes").groupBy(*keys).applyInArrow(_block(threshold), BLOCK_OUT), "block-links")
-
-    # Neighbours of neighbours: the lists of a vector, merged, and what links among them no cell has.
-    near = found.select("_id", F.explode(F.arrays_zip("_near", "_cos")).alias("_n")).select("_id", F.col("_n._near").alias("_to"), F.col("_n._cos").alias("_cos"))
-    merged = near.groupBy("_id").agg(F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("_cos", "_to")))), 1, LIST).alias("_best"))
-    pairs = merged.where(F.size("_best") > 1).select(F.col("_id").alias("_mid"), F.explode("_best._to").alias("_id"))
-    beyond = pairs.join(coded.select("_id", "_v", "_codes"), "_id").groupBy("_mid").applyInArrow(_between(threshold), "a long, b long").distinct()
-    beyond = staged(beyond, "descent-links")
-    also = beyond.select(F.col("a").alias("_id")).unionByName(beyond.select(F.col("b").alias("_id"))).groupBy("_id").agg(F.count("*").alias("_links"))
-    links = found.select("_id", "_links").unionByName(also).groupBy("_id").agg(F.sum("_links").alias("_links")).where("_links > 0")
+    found = staged(paired.select(*keys, "_id", "_sub", "_v", "_w", "_codes").groupBy(*keys).applyInArrow(_block(threshold), BLOCK_OUT), "block-links")
+
+    beyond = _descend(found, coded, threshold)
+    weight = lambda c: sized.select(F.col("_id").alias(c), F.col("_w").alias(f"_{c}"))
+    weighed = beyond.join(weight("a"), "a").join(weight("b"), "b")
+    also = weighed.select(F.col("a").alias("_id"), F.col("_b").alias("_links")).unionByName(weighed.select(F.col("b").alias("_id"), F.col("_a").alias("_links")))
+    own = sized.where("_w > 1").select("_id", (F.col("_w") - 1).alias("_links"))
+    links = found.select("_id", "_links").unionByName(also).unionByName(own).groupBy("_id").agg(F.sum("_links").alias("_links")).where("_links > 0")
     edges = found.where("_id <> _least").select(F.col("_id").alias("a"), F.col("_least").alias("b")).unionByName(beyond).distinct()
     return staged(links, "links"), staged(edges, "edges")

@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from ._vectors import lists, matrix, usable
 SAMPLE, LISTS, LIST_ROWS, SHARD_ROWS, QUERY_ROWS, MEASURED = 20_000, 1024, 256, 8192, 1024, 128
 #: A vector is also in lists whose centroid is so many times as far as its nearest; edges of a centroid.
 BOUNDARY, DEGREE = 1.03, 12
+#: Share of the measured queries' true neighbours that the results must have; else the ratio grows.
+LEAST_RECALL = 0.93
 
 
 def augmented(v: np.ndarray, longest: float) -> np.ndarray:
@@ -211,28 +214,35 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def measured_ratio(postings: DataFrame, centroids: Centroids, queries: DataFrame, k: int, wanted: float) -> float:
+def measured_ratio(postings: DataFrame, centroids: Centroids, queries: DataFrame, k: int, wanted: float) -> tuple[float, list[tuple[int, int]]]:
     """The smallest ratio at which the lists hold the wanted share of the true neighbours of at
-    most MEASURED queries, found among all rows."""
+    most MEASURED queries, found among all rows, and those neighbours: (query, id)."""
     some = queries.orderBy(F.xxhash64("_id"), "_id").limit(MEASURED).select("_id", "_v").toArrow()
-    if not some.num_rows:
-        return 1.0
-    truth = brute_force(postings, some, k, "_lists").select("query_id", "_lists").collect()  # at most MEASURED * k rows
+    truth = brute_force(postings, some, k, "_lists").select("query_id", "vec_id", "_lists").collect()  # at most MEASURED * k rows
     d = dict(zip(some.column("_id").to_pylist(), np.sqrt(centroids.distances(np.column_stack([matrix(some.column("_v")), np.zeros(some.num_rows)])))))
     need = sorted(d[t["query_id"]][t["_lists"]].min() / max(1e-12, d[t["query_id"]].min()) for t in truth)
-    return float(need[min(len(need) - 1, math.ceil(wanted * len(need)))]) * (1 + 1e-9) if need else 1.0
+    ratio = float(need[min(len(need) - 1, math.ceil(wanted * len(need)))]) * (1 + 1e-9) if need else 1.0
+    return ratio, [(t["query_id"], t["vec_id"]) for t in truth]
 
 
 def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, k: int = 20, wanted: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product that the lists
     of each query hold, ties to smaller ids; fewer only if there are fewer candidates.
 
-    Every row with an id and a vector of the commonest length that is finite and not zero takes
-    part, queries too; others don't appear. A query's own id is no candidate, and an id that
-    repeats counts once. An empty table gives no rows. Other columns are ignored.
+    Every row with an id and a vector that is finite and not zero takes part, queries too; others
+    don't appear. Vectors of different lengths have no inner product: each length is searched by itself.
+    A query's own id is no candidate, and an id that repeats counts once. An empty table gives no
+    rows. Other columns are ignored.
     """
     rows = usable(vectors, id_col, vector_col)
-    spark = vectors.sparkSession
+    lengths = sorted(r["n"] for r in rows.select(F.size("_v").alias("n")).distinct().collect())  # a few, as vectors of one model have one
+    found = [_nearest(rows.where(F.size("_v") == n), is_query, k, wanted) for n in lengths]
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found) if found else empty
+
+
+def _nearest(rows: DataFrame, is_query: Callable[[Column], Column], k: int, wanted: float) -> DataFrame:
+    spark = rows.sparkSession
     shape = rows.agg(F.count("*").alias("n"), F.max(F.aggregate(F.transform("_v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)).alias("m"), F.count(F.when(is_query(F.col("_id")), 1)).alias("q")).first()
     if not shape["n"] or not shape["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -241,10 +251,9 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, k: int
     kind = rows.schema["_v"].dataType.simpleString()
     postings = staged(rows.mapInArrow(_assign(sent), f"_id long, _v {kind}, _lists array<int>"), "postings")
     queries = rows.where(is_query(F.col("_id")))
-    ratio = measured_ratio(postings, centroids, queries, k, wanted)
+    ratio, truth = measured_ratio(postings, centroids, queries, k, wanted)
     counts = {r["l"]: r["n"] for r in postings.select(F.explode("_lists").alias("l")).groupBy("l").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
     sizes = np.asarray([counts.get(l, 0) for l in range(len(centroids.c))], np.int64)
-    routed = staged(queries.mapInArrow(_route(sent, ratio, sizes, k + 1), f"_id long, _v {kind}, _lists array<int>"), "routed")
 
     # Shards of neighbouring lists; a list with more rows than a shard has several, by hash of the id.
     shard_of, held, shard = {}, 0, 0
@@ -259,14 +268,21 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, k: int
         shard_of[l], held = (shard, 1), held + n
     first = F.create_map(*[F.lit(x) for l, (s, _) in shard_of.items() for x in (l, s)])
     split = F.create_map(*[F.lit(x) for l, (_, p) in shard_of.items() for x in (l, p)])
-    blocks = max(1, math.ceil(shape["q"] / QUERY_ROWS))
     salt = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(1 << 30))
     held_in = F.array_distinct(F.transform("_lists", lambda l: (first[l] + (salt(F.col("_id")) % split[l])).cast("int")))
     asked_in = F.array_distinct(F.flatten(F.transform("_lists", lambda l: F.sequence(first[l], first[l] + split[l] - 1))))
-    left = postings.withColumn("_shard", F.explode(held_in)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = routed.withColumn("_shard", F.explode(asked_in)).withColumn("_block", (salt(F.col("_id")) % blocks).cast("int"))
-    found = left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
-    found = staged(ranked(found, k).select("query_id", "rank", "vec_id", "score"), "found")
+    known = F.broadcast(spark.createDataFrame(truth, "query_id long, vec_id long"))  # at most MEASURED * k rows
+    while True:
+        routed = staged(queries.mapInArrow(_route(sent, ratio, sizes, k + 1), f"_id long, _v {kind}, _lists array<int>").withColumn("_shard", F.explode(asked_in)), "routed")
+        # A shard's postings go once for each QUERY_ROWS queries that ask it.
+        blocks = routed.groupBy("_shard").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("_blocks"))
+        left = postings.withColumn("_shard", F.explode(held_in)).join(blocks, "_shard").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        right = routed.join(blocks, "_shard").withColumn("_block", (salt(F.col("_id")) % F.col("_blocks")).cast("int"))
+        found = left.drop("_blocks").groupBy("_shard", "_block").cogroup(right.drop("_blocks").groupBy("_shard", "_block")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
+        found = staged(ranked(found, k).select("query_id", "rank", "vec_id", "score"), "found")
+        if found.join(known, ["query_id", "vec_id"], "left_semi").count() >= LEAST_RECALL * len(truth) or ratio > 4:
+            break
+        ratio *= 1.1  # the graph's search missed more than the lists do
     return _completed(found, rows, queries, k)
 
 
