@@ -76,11 +76,17 @@ def commit_links(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", ids[0].alias("first_id"), F.size(ids).alias("n"))
 
 
-@query("SELECT doc_id, decode(encode(left(coalesce(text, ''), 0) || 'übung')[4:6]) AS cut, doc_id % 2 = 0 AS fits FROM documents")
+_INSIDE = "(hex(b[{0} + 1:{0} + 1]) >= '80' AND hex(b[{0} + 1:{0} + 1]) < 'C0')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) // 3 AS f, octet_length(encode(coalesce(text, ''))) * 2 // 3 AS e FROM documents)
+SELECT doc_id, CASE WHEN f = e THEN sha256('') WHEN NOT ({_INSIDE.format("f")} OR {_INSIDE.format("e")}) THEN sha256(b[f + 1:e]) END AS cut_sha256 FROM d""")
 def byte_slices(t: Tables) -> DataFrame:
-    """F32: bytes of a text; none for bounds outside it."""
-    word = F.lit("übung")
-    return t.documents.select("doc_id", X.slice_bytes(word, F.lit(3), F.lit(6)).alias("cut"), X.slice_bytes(word, F.lit(3), F.when(F.col("doc_id") % 2 == 0, 6).otherwise(7)).isNotNull().alias("fits"))
+    """F32: the middle third of a text's bytes; none if it begins or ends within a character."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.octet_length(text)
+    cut = X.slice_bytes(text, F.floor(n / 3).cast("int"), F.floor(n.cast("long") * 2 / 3).cast("int"))
+    return t.documents.select("doc_id", F.sha2(cut.cast("binary"), 256).alias("cut_sha256"))
 
 
 _DIFF = "'diff --git a/drivers/p' || l_partkey || '.c b/drivers/p' || l_partkey || '.c' || chr(10)"

@@ -166,7 +166,8 @@ def patch_subjects(t: Tables) -> DataFrame:
     return s.select("l_orderkey", "l_linenumber", "s.ordinal", "s.total", "s.version_num", "s.revision_inferred", "s.is_rfc", "s.had_reply_prefix", "s.is_resend", "s.subject_norm_base", F.array_join("s.extra_tags", ",").alias("tags"))
 
 
-@query(f"SELECT count(*) AS versions, count(DISTINCT o_custkey) AS series FROM ({_RANKED}) WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+@query("""SELECT o_orderkey AS thread_id, CAST(row_number() OVER w AS INTEGER) AS version_num, first_value(o_orderkey) OVER w AS series_thread_id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def series_lineage(t: Tables) -> DataFrame:
     """Orders as mails of one thread each, whose versions refer to the one before; every customer is one series."""
     with_items = t.orders.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
@@ -181,7 +182,8 @@ def series_lineage(t: Tables) -> DataFrame:
         F.concat(F.lit("[PATCH v"), F.col("num").cast("string"), F.lit(" "), F.col("l_linenumber").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit("] part "), F.col("part").cast("string"), F.lit(" of "), F.col("o_orderkey").cast("string")).alias("subject_raw"), F.lit("A").alias("from_name"),
         F.concat(F.col("o_custkey").cast("string"), F.lit("@example.org")).alias("from_email"), F.col("o_orderdate").cast("timestamp").alias("date_utc"), F.when(F.col("before").isNotNull(), F.array(name("before"))).otherwise(none).alias("references_ids"), none.alias("in_reply_to_ids"), nothing.alias("base_commit"), nothing.alias("change_id"), F.lit(True).alias("has_diff"), F.sha1(F.concat_ws("-", "o_orderkey", "l_linenumber")).alias("patch_id_stable"),
     )
-    return assign_series(extract_versions(mails)).agg(F.count("*").alias("versions"), F.countDistinct("series_key").alias("series"))
+    thread = lambda c: F.split(c, "/")[1].cast("long")
+    return assign_series(extract_versions(mails)).select(thread("version_key").alias("thread_id"), F.col("version_num").cast("int").alias("version_num"), thread("series_key").alias("series_thread_id"))
 
 
 @query("""SELECT l_orderkey * 10 + l_linenumber AS item_id, 'c' || l_orderkey AS commit_oid, CASE WHEN l_linenumber % 2 = 0 THEN 'link' ELSE 'patch_id' END AS match_method, CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey || '.' || l_linenumber || '@example.org' END AS matched_message_id
