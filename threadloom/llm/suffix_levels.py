@@ -158,17 +158,14 @@ def _blocks(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     def of(x: np.ndarray, found: list[dict]) -> tuple[np.ndarray, ...]:
         key, at = (np.asarray([f[c] for f in found], np.int64) for c in ("_key", "_at"))
         place, _, start, end = unpacked(at)
-        out = []
-        for block in range(reach // BLOCK + 1):
-            low = place - reach + block * BLOCK
-            high = np.minimum(low + BLOCK - 1, place)
-            first, last = np.maximum(low, start), np.minimum(high, end)
-            some = np.flatnonzero(first <= last)
-            low, high, first, last = low[some], high[some], first[some], last[some]
-            core = _with(_with(range_hashes(x, high, low + n, n), key[some]), np.full(len(some), block))
-            hull = _with(_with(range_hashes(x, first, last + n, 2 * n), first - low), last - low)
-            out.append((signed(core), signed(hull), first << 4 | last - first))
-        return tuple(np.concatenate(c) for c in zip(*out))
+        low = place[:, None] - reach + BLOCK * np.arange(reach // BLOCK + 1)
+        high = np.minimum(low + BLOCK - 1, place[:, None])
+        first, last = np.maximum(low, start[:, None]), np.minimum(high, end[:, None])
+        row, block = np.nonzero(first <= last)
+        low, high, first, last = (c[row, block] for c in (low, high, first, last))
+        core = _with(_with(range_hashes(x, high, low + n, n), key[row]), block)
+        hull = _with(_with(range_hashes(x, first, last + n, 2 * n), first - low), last - low)
+        return signed(core), signed(hull), first << 4 | last - first
 
     return _by_text(of)
 
