@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, near duplicates, repeated passages, mixing, BPE.
 
 STAGES are applied in order to the documents; each result is written as Parquet and read
-again as the next one's documents. All but the last return the columns of documents.
+again as the next one's documents. All but the last return the columns of documents, extra
+ones included, whatever their names. Null and empty texts and null ids are documents like others;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, fitted on these documents' labels, doesn't predict to be toxic."""
+    """Documents that the model, fitted on these documents' labels, doesn't predict to be toxic.
+    Repeated rows are scored, and kept or dropped, each; texts without words get the score of none."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
+    """Of each group of near copies, the document with the smallest id, null last; of repeated rows and of
+    all texts without words, one."""
     return near_texts.without_near_copies(docs)
 
 
@@ -31,7 +35,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the numbers that the mix to target weights takes them."""
+    """Documents in the numbers that the mix to target weights takes them; texts without words aren't taken."""
     return mixing.mixed(docs)
 
 
