@@ -22,6 +22,13 @@ NOW = dt.datetime(2024, 1, 31, tzinfo=dt.UTC)
         ("fwd: Re: plain", {"had_reply_prefix": True, "has_patch_tag": False, "subject_norm_base": "plain"}),
         ("[PATCH v0 1/1] x", {"version_num": 1, "revision_inferred": True}),
         ("[[PATCH] net-next, v7] y", {"has_patch_tag": True, "extra_tags": ["net-next"], "version_num": 7}),
+        ("[[[rfc] PATCH] q v3] y", {"is_rfc": True, "extra_tags": ["q"], "version_num": 3, "subject_norm_base": "y"}),
+        ("[a [b] c [d] e] x", {"extra_tags": ["a", "b"], "subject_norm_base": "c [d e] x"}),
+        ("]] [[a]] b", {"extra_tags": [], "subject_norm_base": "]] [a] b"}),
+        ("[[open", {"extra_tags": [], "subject_norm_base": "[[open"}),
+        ("ab: [x] y", {"had_reply_prefix": True, "extra_tags": ["x"], "subject_norm_base": "y"}),
+        ("ab: y", {"had_reply_prefix": False, "subject_norm_base": "ab: y"}),
+        ("abcd: [x] y", {"had_reply_prefix": False, "subject_norm_base": "abcd: [x] y"}),
         ("", {"subject_norm_base": "", "counters_inferred": True}),
         (None, {"subject_norm_base": ""}),
     ],
@@ -44,6 +51,8 @@ def test_diffs():
     assert files[1]["diff_end"] == len(two.encode())
     assert kinds('diff --git "a/a b" "b/a b"\nBinary files differ\n') == [("a b", "a b", "B", 0, 0)]
     assert kinds("Index: x.c\n--- x.c\n+++ x.c\n@@ -1 +1 @@\n-a\n+b\n") == [("x.c", "x.c", "M", 1, 1)]
+    assert kinds("diff --git a/n b/n\r\nnew file mode 100644\r\n--- /dev/null\r\n+++ b/n\r\n@@ -0,0 +1 @@\r\n+x\r\n++y\r\n") == [(None, "n", "A", 2, 0)]
+    assert kinds("new file mode 100644\n--- a/n\n+++ b/n\n") == [("n", "n", "M", 0, 0)]
     assert P.diff_files("") == [] and P.diff_files(None) == []
     # A removed line that begins with "-- " reads as a path marker.
     assert kinds("diff --git a/q b/q\n--- a/q\n+++ b/q\n@@ -1 +1 @@\n--- y\n+z\n")[0][0] == "y"
