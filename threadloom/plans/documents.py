@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.parsers import diff_files_udf, patch_id_udf
 from ..functions.scalars import epoch_number, ids_hash, link_message_ids, merged_change_type
-from ..operators.ingest import epoch_windows, merged_files, repo_order
+from ..operators.ingest import epoch_windows, id_map, merged_files, patch_facts, repo_order
 from ._base import Tables, query
 
 _TEXT = "coalesce(text, '')"
@@ -92,12 +92,16 @@ def byte_slices(t: Tables) -> DataFrame:
 _DIFF = "'diff --git a/drivers/p' || l_partkey || '.c b/drivers/p' || l_partkey || '.c' || chr(10)"
 
 
+def _two_blocks(key: F.Column, added: F.Column) -> F.Column:
+    """A diff that changes a file named by key, by so many lines added, and makes another."""
+    p = key.cast("string")
+    first = F.concat(F.lit("diff --git a/drivers/p"), p, F.lit(".c b/drivers/p"), p, F.lit(".c\n--- a/drivers/p"), p, F.lit(".c\n+++ b/drivers/p"), p, F.lit(".c\n@@ -1,2 +1 @@ x\n-old  "), p, F.lit("\n"), F.repeat(F.lit("+new line\n"), added.cast("int")))
+    return F.concat(first, F.lit('diff --git "a/ä b" "b/ä b"\nnew file mode 100644\n--- /dev/null\n+++ "b/ä b"\n@@ -0,0 +1 @@\n+x\n'))
+
+
 def _diff(t: Tables) -> DataFrame:
     """A diff of two blocks for each line item."""
-    p, n = F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("int")
-    first = F.concat(F.lit("diff --git a/drivers/p"), p, F.lit(".c b/drivers/p"), p, F.lit(".c\n--- a/drivers/p"), p, F.lit(".c\n+++ b/drivers/p"), p, F.lit(".c\n@@ -1,2 +1 @@ x\n-old  "), p, F.lit("\n"), F.repeat(F.lit("+new line\n"), n))
-    second = F.lit('diff --git "a/ä b" "b/ä b"\nnew file mode 100644\n--- /dev/null\n+++ "b/ä b"\n@@ -0,0 +1 @@\n+x\n')
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(first, second).alias("diff"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", _two_blocks(F.col("l_partkey"), F.col("l_linenumber")).alias("diff"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, 2 AS files, 'drivers/p' || l_partkey || '.c' AS path, 'M' AS kind, CAST(l_linenumber AS INTEGER) AS additions, 1 AS deletions, 'ä b' AS path2, 'A' AS kind2,
@@ -137,10 +141,25 @@ def distinct_contents(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.count("*").alias("documents"), F.countDistinct(F.md5(F.coalesce("text", F.lit("")))).alias("messages"), F.min("doc_id").alias("first_id"))
 
 
-@query("SELECT hash, min(doc_id) AS primary_id, count(*) AS instances, bool_or(doc_id % 2 = 0) AS is_primary FROM (SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents) GROUP BY hash")
+@query("""SELECT md5(coalesce(text, '')) AS message_id, doc_id AS message_pk, doc_id % 2 <> 0 OR doc_id % 3 = 0 AS is_primary FROM documents
+UNION ALL SELECT 'd' || doc_id, doc_id, doc_id % 2 = 0 FROM documents""")
 def message_id_map(t: Tables) -> DataFrame:
-    """One message a content, with the ids that lead to it."""
-    return t.documents.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("hash")).groupBy("hash").agg(F.min("doc_id").alias("primary_id"), F.count("*").alias("instances"), F.bool_or(F.col("doc_id") % 2 == 0).alias("is_primary"))
+    """Documents as messages of two ids, of which every third was known by its digest as the primary one."""
+    k, digest, own = F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    messages = t.documents.select(k.alias("message_pk"), F.array(digest, own).alias("message_ids"), F.when(k % 2 == 0, own).otherwise(digest).alias("message_id_primary"))
+    known = t.documents.where(k % 3 == 0).select(digest.alias("message_id"), k.alias("message_pk"), F.lit(True).alias("is_primary"))
+    return id_map(messages, known).select("message_id", "message_pk", "is_primary")
+
+
+@query("""SELECT p_partkey AS message_pk, true AS has_diff, CAST(2 AS BIGINT) AS file_count, CAST(p_size AS BIGINT) + 1 AS all_additions, CAST(2 AS BIGINT) AS hunks, new_path,
+CASE WHEN new_path = 'ä b' THEN 'A' ELSE 'M' END AS change_type, CASE WHEN new_path = 'ä b' THEN CAST(1 AS BIGINT) ELSE CAST(p_size AS BIGINT) END AS additions
+FROM (SELECT *, unnest(['drivers/p' || p_partkey || '.c', 'ä b']) AS new_path FROM part)""")
+def facts_of_patches(t: Tables) -> DataFrame:
+    """Counts of each message's diff, beside its files; parts stand for messages."""
+    none = F.lit(None).cast("string")
+    facts, files = patch_facts(t.part.select(F.col("p_partkey").alias("message_pk"), _two_blocks(F.col("p_partkey"), F.col("p_size")).alias("diff_text"), none.alias("base_commit"), none.alias("change_id")))
+    kept = facts.select("message_pk", "has_diff", F.col("file_count").cast("long").alias("file_count"), F.col("additions").cast("long").alias("all_additions"), F.col("hunk_count").cast("long").alias("hunks"))
+    return kept.join(files.select("message_pk", "new_path", "change_type", F.col("additions").cast("long").alias("additions")), "message_pk")
 
 
 @query("SELECT s_nationkey AS list_id, s_suppkey AS start, coalesce(nxt, s_suppkey) AS \"end\" FROM (SELECT s_nationkey, s_suppkey, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nxt, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) WHERE nxt IS NOT NULL OR n = 1")
