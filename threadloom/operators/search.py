@@ -8,6 +8,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import split_date
 from ..functions.text import ascii_lower, collapse, embedding_text, hash_text, safe_prefix, snippet
 
 #: Searchable fields of each scope in order of weight; a hit in the first counts most.
@@ -43,6 +44,46 @@ def series_documents(series: DataFrame, items: DataFrame, lists: DataFrame) -> D
     return docs.select(F.concat(F.lit("series-"), F.col("series_id").cast("string")).alias("doc_id"), F.coalesce("list_keys", F.array().cast("array<string>")).alias("list_keys"), "canonical_subject", "author_email", F.coalesce("has_diff", F.lit(False)).alias("has_diff"), F.coalesce("cover_abstract", F.lit("")).alias("cover_abstract"), F.coalesce("patch_subjects_joined", F.lit("")).alias("patch_subjects_joined"), "merge_state", F.unix_seconds(F.col("last_seen_at").cast("timestamp")).alias("date_ts"))
 
 
+def patch_item_documents(items: DataFrame, versions: DataFrame, series: DataFrame, messages: DataFrame, files: DataFrame, lists: DataFrame) -> DataFrame:
+    """One document an item: items (item_id, version_id, message_pk, ordinal, subject, commit_subject, has_diff), versions (version_id, series_id,
+    version_num, is_rfc, sent_at), series (series_id, author_email), messages (message_pk, message_id_primary, diff_text), files (item_id, new_path), lists (series_id, list_key)."""
+    paths = files.groupBy("item_id").agg(sorted_set(F.col("new_path")).alias("file_paths"))
+    on = lists.groupBy("series_id").agg(sorted_set(F.col("list_key")).alias("list_keys"))
+    of = versions.join(series.select("series_id", "author_email"), "series_id").join(on, "series_id", "left")
+    rows = items.join(of, "version_id").join(messages, "message_pk").join(paths, "item_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        F.col("item_id").alias("id"), F.lit("patch_item").alias("scope"), F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("doc_id"), "subject", snippet(F.coalesce("commit_subject", "subject"), 240).alias("snippet"), "author_email", split_date(F.col("sent_at")).alias("_date"),
+        F.coalesce("list_keys", none).alias("list_keys"), "has_diff", "series_id", "version_id", "version_num", "ordinal", "is_rfc", F.coalesce("file_paths", none).alias("file_paths"), "commit_subject", safe_prefix(F.col("diff_text"), F.lit(60_000)).alias("diff_search"), "message_id_primary",
+    ).select("*", "_date.*").drop("_date")
+
+
+def series_metadata(series: DataFrame, versions: DataFrame) -> DataFrame:
+    """What changes of a series without a new document: series (series_id, latest_version_id, merge_state, merged_in_tag,
+    merged_in_release, merged_version_id, merged_commit_id), versions (version_id, version_num, is_rfc)."""
+    latest = versions.select(F.col("version_id").alias("latest_version_id"), F.col("version_num").alias("_num"), F.col("is_rfc").alias("_rfc"))
+    both = series.join(latest, "latest_version_id", "left")
+    has = F.col("_num").isNotNull()
+    return both.select(
+        "series_id", F.coalesce("_num", F.lit(1)).alias("latest_version_num"), F.when(has, F.col("latest_version_id")).alias("latest_version_id"), F.coalesce("_rfc", F.lit(False)).alias("is_rfc_latest"),
+        "merge_state", (F.col("merge_state") == "merged").alias("is_merged"), "merged_in_tag", "merged_in_release", "merged_version_id", "merged_commit_id",
+    )
+
+
+def thread_metadata(threads: DataFrame, messages: DataFrame) -> DataFrame:
+    """The same of threads (thread_id, list_key, created_at, last_activity_at, message_count, root_message_pk), with who began them: messages (message_pk, from_name, from_email)."""
+    starter = messages.select(F.col("message_pk").alias("root_message_pk"), F.col("from_name").alias("starter_name"), F.col("from_email").alias("starter_email"))
+    return threads.join(starter, "root_message_pk", "left").select("thread_id", "list_key", "created_at", "last_activity_at", "message_count", "starter_name", "starter_email")
+
+
+def backfilled(hits: DataFrame, metadata: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Hits whose null fields come from metadata; hits that lack none aren't joined."""
+    lacks = functools.reduce(operator.or_, [F.col(f).isNull() for f in fields])
+    more = metadata.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
+    filled = hits.where(lacks).join(more, key, "left").select(*[F.coalesce(c, f"_{c}").alias(c) if c in fields else F.col(c) for c in hits.columns])
+    return hits.where(~lacks).unionByName(filled)
+
+
 def embedding_inputs(docs: DataFrame, *parts: str) -> DataFrame:
     """doc_id, text, source_hash of documents with any text."""
     return docs.select("doc_id", embedding_text(*map(F.col, parts)).alias("text")).where("text <> ''").withColumn("source_hash", hash_text(F.col("text")))
@@ -71,10 +112,30 @@ def words_of(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(ascii_lower(c), r"(?U)[^\p{L}\p{N}_]+"), lambda w: w != ""))
 
 
+def wanted_words(query: str) -> list[str]:
+    return sorted({w for w in "".join(ch if ch.isalnum() or ch == "_" else " " for ch in query.lower()).split()})
+
+
+def cropped(text: Column, query: str, n: int, begin: str = "<em>", end: str = "</em>") -> Column:
+    """n words of a text around the first that the query has, or its first n; words of the query stand
+    between begin and end, and ... where words are missing. Empty for a null or blank text."""
+    words = F.filter(F.split(collapse(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
+    wanted = F.array(*map(F.lit, wanted_words(query))).cast("array<string>")
+    is_hit = lambda w: F.array_contains(wanted, F.regexp_replace(ascii_lower(w), r"\A[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+\z", ""))
+
+    def around(parts: Column) -> Column:
+        first = F.array_position(F.transform(parts, is_hit), F.lit(True)).cast("int")  # from 1; 0 for none
+        start = F.greatest(F.lit(0), F.least(first - 1 - n // 2, F.size(parts) - n))
+        shown = F.array_join(F.transform(F.slice(parts, start + 1, F.lit(n)), lambda w: F.when(is_hit(w), F.concat(F.lit(begin), w, F.lit(end))).otherwise(w)), " ")
+        return F.concat(F.when(start > 0, "...").otherwise(""), shown, F.when(start + n < F.size(parts), "...").otherwise(""))
+
+    return F.get(F.transform(F.array(words), around), F.lit(0))
+
+
 def lexical_score(query: str, fields: tuple[str, ...]) -> Column:
     """Share of the query's words that a field has, fields weighted 1, 1/2, 1/3, ...; 0 to 1. The
     ranking is ours: term coverage, then the field's weight, then the id."""
-    wanted = sorted({w for w in "".join(ch if ch.isalnum() or ch == "_" else " " for ch in query.lower()).split()})
+    wanted = wanted_words(query)
     if not wanted:
         return F.lit(0.0)
     weights = [1 / (i + 1) for i in range(len(fields))]

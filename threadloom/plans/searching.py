@@ -24,10 +24,10 @@ def search_facets(t: Tables) -> DataFrame:
     return facets(documents(t), "thread")
 
 
-@query(f"SELECT doc_id, date_ts FROM ({_DOCS}) WHERE list_key = 'src4' AND author = 'en@x' AND has_diff AND date_ts >= 10 AND date_ts < 900 ORDER BY date_ts DESC LIMIT 20")
+@query(f"SELECT doc_id, date_ts FROM ({_DOCS}) WHERE list_key = 'src10' AND author = 'en@x' AND has_diff AND date_ts >= 10 AND date_ts < 900 ORDER BY date_ts DESC LIMIT 20")
 def search_by_date(t: Tables) -> DataFrame:
     """Filters, newest first, a page of twenty."""
-    return search(documents(t), "thread", "", sort="date_desc", list_key="src4", author="en@x", has_diff=True, start=10, end=900).select("doc_id", "date_ts")
+    return search(documents(t), "thread", "", sort="date_desc", list_key="src10", author="en@x", has_diff=True, start=10, end=900).select("doc_id", "date_ts")
 
 
 @query(f"""SELECT doc_id, round((CAST(f1 = 'src3' AS INTEGER) + (CAST(f2 = 'en' AS INTEGER)) / 2.0 + (CAST(contains(f3, ' and ') AS INTEGER) + CAST(contains(f3, ' en ') AS INTEGER) + CAST(contains(f3, ' src3 ') AS INTEGER)) / 3.0) / 3 / (11.0 / 6), 6) AS score FROM ({_DOCS})""")
