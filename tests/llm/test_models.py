@@ -136,6 +136,11 @@ def test_names_do_not_hide_articles(wrapper):
     assert html_text.Page(page).main_text(set()) == "Title\n\nBy x\n\nDek\n\nText\n\nFree"
 
 
+def test_formulas_stay_in_their_blocks():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <span class='ad-hoc'>so</span>.</p><p class='social-history'>S</p><div id='menu-of-the-day'>M</div></article>"
+    assert html_text.Page(page).main_text(set()) == "Let x=1 be so.\n\nS\n\nM"
+
+
 def test_roles_still_hide_articles():
     for wrapper in ("<aside>", "<nav>", '<div role="search">'):
         assert html_text.Page(f"<body>{wrapper}<article>Teaser</article>").main_text(set()) == ""
