@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import timestamp, window_days
 from threadloom.operators.records import advanced, replace_canonical, thread_refs
-from threadloom.operators.search import cropped
+from threadloom.operators.search import cropped, filtered
 from threadloom.sources.repos import COMMITS, discover, hash_embedder
 from threadloom.streaming.incremental import DOCUMENTS, VECTORS, Store, current, ingest_batch
 
@@ -39,6 +40,15 @@ def test_records_without_rows(spark):
     assert [tuple(r) for r in thread_refs(versions, instances, members, 1).collect()] == [(1, None, None, "no_anchor")]
 
 
+def test_merged_filter_waits(spark):
+    docs = spark.createDataFrame([("series-1", "merged"), ("series-2", "partial")], "doc_id string, merge_state string")
+    with pytest.raises(RuntimeError):
+        filtered(docs, "series", merged=True, ready=False)
+    with pytest.raises(ValueError):
+        filtered(docs, "thread", merged=True)
+    assert [filtered(docs, "series", merged=m).collect()[0]["doc_id"] for m in (True, False)] == ["series-1", "series-2"]
+
+
 def test_parameters():
     assert timestamp(" ") is None and timestamp("2024-01-02") == dt.datetime(2024, 1, 2, tzinfo=dt.UTC)
     assert timestamp("2024-01-02T03:00:00+01:00") == dt.datetime(2024, 1, 2, 2, tzinfo=dt.UTC)

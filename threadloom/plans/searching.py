@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import query_prompt
 from ..operators.search import FIELDS, bootstrap_counts, cosine, embedding_inputs, facets, hybrid, lexical_score, search, series_documents, thread_documents
 from ._base import Tables, query
 
@@ -70,6 +71,14 @@ def vector_inputs(t: Tables) -> DataFrame:
     return embedding_inputs(documents(t), "subject", "snippet_corpus").select("doc_id", "source_hash")
 
 
+@query(r"""SELECT doc_id, md5('Find the ' || scope || ' that matches this query: ' || trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS prompt_md5, scope FROM documents, (SELECT unnest(['thread', 'series']) AS scope)""")
+def query_prompts(t: Tables) -> DataFrame:
+    """whole texts as search queries, behind the sentence of each scope."""
+    texts = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    of = lambda scope: texts.select("doc_id", F.md5(query_prompt(F.col("text"), scope)).alias("prompt_md5"), F.lit(scope).alias("scope"))
+    return of("thread").unionByName(of("series"))
+
+
 @query("SELECT count(*) AS documents, count(e.vec_id) AS with_vector, count(*) FILTER (WHERE e.vec_id IS NULL) AS without_vector FROM documents d LEFT JOIN (SELECT vec_id FROM embeddings WHERE label <> 0) e ON e.vec_id = d.doc_id")
 def index_bootstrap(t: Tables) -> DataFrame:
     """Documents with and without a stored vector."""
