@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, mixing, near_texts, near_vectors, neighbours, substrings, suffix_levels, token_counts, toxicity
+from . import bpe, html_text, merkle, mixing, near_texts, near_vectors, neighbours, substrings, suffix_levels, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op10_link_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.link_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_passages, op4_bpe, op5_near_copies, op6_repeats, op7_nearest, op8_toxicity, op9_main_texts, op10_link_vectors)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_passages, op4_bpe, op5_near_copies, op6_repeats, op7_nearest, op8_toxicity, op9_main_texts, op10_link_vectors, op13_manifest)}
 
 
 OP3_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents),
@@ -66,6 +70,46 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t FRO
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+def _crc32(text: str) -> str:
+    """DuckDB's lack of it, made good: CRC-32 of ASCII, four bits at a time."""
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    step = lambda x: f"xor({table}[({x} & 15) + 1], {x} >> 4)"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: {step(step('xor(c, b)'))}), 4294967295)"
+
+
+def _op13_sql(levels: int = 7, over: int = 3) -> str:
+    """Trees of at most 8^levels leaves a lang and 8^over langs, written out level by level."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS leaf, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf(low)} END AS bad FROM documents)",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos FROM d)",
+        "a0 AS (SELECT g, pos, count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM p)",
+    ]
+
+    def grow(t: str, height: int, key: str) -> None:
+        run = f"PARTITION BY {key}, pos // 8 ORDER BY pos ROWS BETWEEN"
+        for k in range(height):
+            parts.append(f"x{t}s{k} AS (SELECT {key}, pos, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {t}{k} WHERE n > {8**k})")
+            parts.append(f"{t}{k + 1} AS (SELECT {key}, pos // 8 AS pos, n, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {t}{k} WHERE n > {8**k} GROUP BY ALL UNION ALL SELECT * FROM {t}{k} WHERE n <= {8**k})")
+
+    grow("a", levels, "g")
+    parts.append(f"b0 AS (SELECT 0 AS one, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, h FROM a{levels})")
+    grow("b", over, "one")
+    parts.append(f"top AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS place FROM a{levels})")
+    joins = [f"LEFT JOIN xas{k} ON xas{k}.g = p.g AND xas{k}.pos = p.pos // {8**k}" for k in range(levels)] + [f"LEFT JOIN xbs{k} ON xbs{k}.pos = place // {8**k}" for k in range(over)]
+    names = [f"xas{k}" for k in range(levels)] + [f"xbs{k}" for k in range(over)]
+    folds = ["coalesce(bad, leaf) AS f0"] + [f"CASE WHEN {s}.l IS NULL THEN f{i} ELSE sha256({s}.l || f{i} || {s}.r) END AS f{i + 1}" for i, s in enumerate(names)]
+    proof = " || ".join(f"coalesce({s}.l || {s}.r, '')" for s in names)
+    parts.append(f"e AS (SELECT doc_id, leaf, subroot, b{over}.h AS root, sha256({proof}) AS proof_sha256, {', '.join(folds)} FROM p JOIN top ON top.g = p.g {' '.join(joins)} CROSS JOIN b{over})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, proof_sha256, f{len(names)} AS folded_root, f{len(names)} = root AS verified FROM e"
+
+
 def oracle_sql() -> dict[str, str]:
     """Only what DuckDB can express over whole tables; tests hold the others against brute force."""
-    return {"op3_passages": OP3_SQL}
+    return {"op3_passages": OP3_SQL, "op13_manifest": _op13_sql()}
