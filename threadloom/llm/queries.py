@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, merkle, mixing, near_texts, near_vectors, neighbours, substrings, suffix_levels, token_counts, toxicity
+from . import bpe, centroids, html_text, merkle, mixing, near_texts, near_vectors, neighbours, substrings, suffix_levels, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,16 @@ def op10_link_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.link_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters_with_inertia(_table(spark, sf_dir, "embeddings"), dimensions=64, k=16, rounds=3, seed=1)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_passages, op4_bpe, op5_near_copies, op6_repeats, op7_nearest, op8_toxicity, op9_main_texts, op10_link_vectors, op13_manifest)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_passages, op4_bpe, op5_near_copies, op6_repeats, op7_nearest, op8_toxicity, op9_main_texts, op10_link_vectors, op11_clusters, op13_manifest)}
 
 
 OP3_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents),
@@ -110,6 +114,22 @@ def _op13_sql(levels: int = 7, over: int = 3) -> str:
     return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, proof_sha256, f{len(names)} AS folded_root, f{len(names)} = root AS verified FROM e"
 
 
+def _op11_sql(rounds: int = 3) -> str:
+    """Rounds written out one by one, every vector compared with every centroid."""
+    fine = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND abs(x) < 2097152)) = 64"  # NaN is above all numbers
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE {fine})",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, q) - 1 AS k, q AS c FROM v QUALIFY k < 16)",
+    ]
+    gap = "list_sum(list_transform(list_zip(q, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT i, any_value(vec_id) AS vec_id, any_value(q) AS q, min({{'d': {gap}, 'k': k}}) AS m FROM v, c{r} GROUP BY i)")
+        parts.append(f"s{r} AS (SELECT k, p, sum(x) AS s, count(*) AS n FROM (SELECT m.k AS k, unnest(q) AS x, unnest(range(64)) AS p FROM a{r}) GROUP BY k, p)")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(f, c) AS c FROM c{r} LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS f FROM s{r} GROUP BY k) USING (k))")
+    return f"""WITH {', '.join(parts)} SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia,
+CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON k = m.k"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only what DuckDB can express over whole tables; tests hold the others against brute force."""
-    return {"op3_passages": OP3_SQL, "op13_manifest": _op13_sql()}
+    return {"op3_passages": OP3_SQL, "op11_clusters": _op11_sql(), "op13_manifest": _op13_sql()}
