@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, html_text, merkle, mixing, near_texts, near_vectors, neighbours, substrings, suffix_levels, token_counts, toxicity
+from . import bpe, centroids, html_text, licenses, merkle, mixing, near_texts, near_vectors, neighbours, substrings, suffix_levels, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +57,16 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters_with_inertia(_table(spark, sf_dir, "embeddings"), dimensions=64, k=16, rounds=3, seed=1)
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(_table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_passages, op4_bpe, op5_near_copies, op6_repeats, op7_nearest, op8_toxicity, op9_main_texts, op10_link_vectors, op11_clusters, op13_manifest)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_passages, op4_bpe, op5_near_copies, op6_repeats, op7_nearest, op8_toxicity, op9_main_texts, op10_link_vectors, op11_clusters, op12_licenses, op13_manifest)}
 
 
 OP3_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents),
@@ -130,6 +134,28 @@ def _op11_sql(rounds: int = 3) -> str:
 CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON k = m.k"""
 
 
+def _op12_sql() -> str:
+    """The same by joins of words' places: starts are counted in groups and not within a row."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ", ".join(f"({i}, '{label}', '{key}', {quoted(text.split())})" for i, (label, key, text) in enumerate(licenses.TEMPLATES))
+    phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in licenses.PHRASES)
+    in_row = "list_sum(list_transform(range(len(t.w)), lambda j: CASE WHEN s + j >= 0 AND d.w[s + j + 1] = t.w[j + 1] THEN 1 ELSE 0 END))"
+    return rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t(id, label, key, w) AS (VALUES {templates}), ph(label, w) AS (VALUES {phrases}),
+tw AS (SELECT id, word, q FROM (SELECT id, unnest(w) AS word, unnest(range(len(w))) AS q FROM t)),
+dw AS MATERIALIZED (SELECT r, word, p FROM (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS p FROM d) WHERE word IN (SELECT word FROM tw UNION SELECT unnest(w) FROM ph)),
+df AS (SELECT word, count(DISTINCT r) AS n FROM dw GROUP BY word),
+base AS (SELECT r, ph.label, p FROM dw JOIN d USING (r) JOIN ph ON dw.word = ph.w[1] WHERE d.w[p + 1 : p + len(ph.w)] = ph.w),
+cand AS (SELECT r, id FROM d JOIN t ON list_has_all(d.w, string_split(t.key, ' '))),
+keys AS (SELECT r, id, word FROM (SELECT r, id, word, n FROM cand JOIN (SELECT DISTINCT id, word FROM tw) USING (id) JOIN (SELECT DISTINCT r, word FROM dw) USING (r, word) JOIN df USING (word)) QUALIFY row_number() OVER (PARTITION BY r, id ORDER BY n, word) <= {licenses.RARE}),
+starts AS (SELECT r, id, p - q AS s FROM keys JOIN dw USING (r, word) JOIN tw USING (id, word) GROUP BY ALL HAVING count(DISTINCT word) >= {licenses.AGREE}),
+found AS (SELECT r, t.label, {in_row} / CAST(len(t.w) AS DOUBLE) AS share FROM starts JOIN d USING (r) JOIN t USING (id)
+WHERE contains(' ' || array_to_string(d.w[greatest(s, 0) + 1 : s + len(t.w)], ' ') || ' ', ' ' || t.key || ' ') AND {in_row} / CAST(len(t.w) AS DOUBLE) >= {licenses.SHARE}),
+b AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list(DISTINCT label) AS l FROM base GROUP BY r), m AS (SELECT r, max(share) AS share, list(DISTINCT label) AS l FROM found GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(b.l), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(b.l, m.l))), ','), '') AS labels,
+greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN {licenses.BASE_SCORE} ELSE 0 END)::DOUBLE AS score FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only what DuckDB can express over whole tables; tests hold the others against brute force."""
-    return {"op3_passages": OP3_SQL, "op11_clusters": _op11_sql(), "op13_manifest": _op13_sql()}
+    return {"op3_passages": OP3_SQL, "op11_clusters": _op11_sql(), "op12_licenses": _op12_sql(), "op13_manifest": _op13_sql()}
