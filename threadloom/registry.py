@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import documents, lists, pipeline, records, searching, series, threads  # noqa: F401  they register their queries
+from .plans import documents, lists, pipeline, ranking, records, searching, series, threads  # noqa: F401  they register their queries
 from .plans._base import ORACLES, QUERIES
 
 
