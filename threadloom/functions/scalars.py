@@ -15,11 +15,6 @@ TAG = r"\A\s*v(\d+)\.(\d+)(?:\.(\d+))?(?:-rc(\d+))?\s*\z"
 CHANGE_ORDER = ("B", "R", "C", "A", "D", "M")
 
 
-def be32(n: Column) -> Column:
-    """Four big-endian bytes."""
-    return F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
-
-
 def sort_key(path: Column) -> Column:
     """The bytes of a path of sibling ranks, which sort as the tree does."""
     return F.unhex(F.array_join(F.transform(path, lambda n: F.lpad(F.hex(n.cast("long")), 8, "0")), ""))

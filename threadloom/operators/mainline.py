@@ -11,15 +11,14 @@ from .components import earliest_reaching
 
 
 def mainline_commits(commits: DataFrame, after: str | None = None) -> DataFrame:
-    """Commits that aren't merges, since a time, in (time, oid) order."""
+    """Commits that aren't merges, since a time."""
     rows = commits.where(F.coalesce(F.size("parents"), F.lit(0)) <= 1)
-    rows = rows.where(F.col("committed_at") > F.lit(after).cast("timestamp")) if after else rows
-    return rows.orderBy("committed_at", "commit_oid")
+    return rows.where(F.col("committed_at") > F.lit(after).cast("timestamp")) if after else rows
 
 
 def version_tags(tags: DataFrame) -> DataFrame:
-    """Tags that name a version, with their sort keys; smallest first."""
-    return tags.withColumn("t", tag_parts(F.col("tag_name"))).where("t is not null").select("tag_name", "target_oid", "t.*").orderBy("tag_sort_key", "tag_name")
+    """Tags that name a version, with their sort keys."""
+    return tags.withColumn("t", tag_parts(F.col("tag_name"))).where("t is not null").select("tag_name", "target_oid", "t.*")
 
 
 def first_tags(commits: DataFrame, tags: DataFrame) -> DataFrame:

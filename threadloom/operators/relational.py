@@ -10,11 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def by_keys(df: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
-    """Rows whose key is in a set (a semi join; AQE broadcasts small sets)."""
-    return df.join(keys, on, "left_semi")
-
-
 def where_set(df: DataFrame, **wanted) -> DataFrame:
     """Equality filters for the parameters that are set; they reach the scan."""
     for name, value in wanted.items():
@@ -78,11 +73,6 @@ def replaced(target: DataFrame, source: DataFrame, parents: list[str]) -> DataFr
     return target.join(source.select(*parents).distinct(), parents, "left_anti").unionByName(source)
 
 
-def surrogate(df: DataFrame, natural: list[str], name: str) -> DataFrame:
-    """A deterministic id of the natural key, which stays beside it."""
-    return df.withColumn(name, F.xxhash64(*natural).bitwiseAND(F.lit(2**63 - 1)))
-
-
 # Keyset pages: at most limit rows after a cursor, one more to know whether there are others.
 
 

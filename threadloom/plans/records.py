@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.records import advanced, replace_canonical, thread_refs, upsert_items
 from ..operators.search import backfilled, cropped, patch_item_documents, series_metadata, thread_metadata
+from ..sources.folders import fresh_folder
 from ..sources.repos import newer, next_watermarks, write_index
 from ._base import Tables, query
-from .pipeline import _folder
 from .searching import documents
 from .series import items, versions
 
@@ -122,7 +122,7 @@ def highlighted_crops(t: Tables) -> DataFrame:
 @query("""SELECT 'thread-' || d.doc_id AS doc_id, d.doc_id % 2 = 0 AS has_diff, d.doc_id AS date_ts, md5(coalesce(d.text, '')) AS text_md5, len(e.embedding) AS dimensions, count(*) OVER () AS documents, count(e.vec_id) OVER () AS with_vector, '{"ranking": ["words"]}' AS settings FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id AND e.label <> 0""")
 def written_index(t: Tables) -> DataFrame:
     """Documents and vectors written as JSON lines, settings last, and read again beside the counts."""
-    path = _folder(t.spark)
+    path = fresh_folder(t.spark)
     vectors = t.embeddings.where("label <> 0").select(F.concat(F.lit("thread-"), F.col("vec_id").cast("string")).alias("doc_id"), "embedding")
     counts = write_index(documents(t), vectors, path, {"ranking": ["words"]})
     read = t.spark.read.schema("doc_id string, has_diff boolean, date_ts long, snippet_corpus string, embedding array<float>").json(f"{path}/documents")
