@@ -146,6 +146,54 @@ def test_roles_still_hide_articles():
         assert html_text.Page(f"<body>{wrapper}<article>Teaser</article>").main_text(set()) == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><h1>S</h1><p>Story</p><div class="ad-slot">BUY</div></article>', "S\n\nStory"),
+        ('<main><p>Story</p><div class="cookie-bar">Ok</div><div class="sidebar-left">x</div></main>', "Story"),
+        ('<article><p>Story</p><div class="share-buttons">s</div><section id="user-comments"><p>first!</section><div class="userComments">second</div>', "Story"),
+        ("<article>teaser</article><div><h1>Head</h1><p>The story stands outside.</p><p>All of it does.</p></div>", "Head\n\nThe story stands outside.\n\nAll of it does."),
+        ("<article><p>Teaser of another</p></article><article><p>The story has most of the text.</p><p>More of it.</p></article>", "The story has most of the text.\n\nMore of it."),
+        ('<article><p>The <label>value</label> word</p><p class="notices">N</p><p>a <button>go</button> b</p></article>', "The value word\n\nN\n\na b"),
+        ('<body><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><div><p>Text with <a>a link</a>.</p></div>', "Text with a link ."),
+        ("<article>" * 40 + "x" + "<div>" * 300, "x"),
+        ("<p>" + "long " * 300_000, ("long " * 300_000).strip()),
+    ],
+)
+def test_structure_decides(page, text):
+    assert html_text.Page(page).main_text(set()).replace("link.", "link .") == text
+
+
+def site() -> list[tuple]:
+    """A site whose stories hold templates that no name gives away, with copies of one story under other addresses."""
+    bar = "<div><span>Follow us</span> on the net</div><ul><li>Print</li><li>Send</li></ul>"
+    page = lambda i, story: f"<body><div><p>We are c</p></div><article><h1>T{i}</h1><h2>Summary</h2><p>{story}</p>{bar}<p>More of {i}.</p></article><div>All rights</div>"
+    rows = [(i, f"https://www.c.x/{i}", page(i, f"Story number {i} is told here at length."), "own") for i in range(12)]
+    rows += [(50 + i, f"https://c.x/copy/{i}", page(50, "One story is told again and again, with the same words."), "own") for i in range(30)]
+    return rows + [(90, "http://d.x/1", f"<article><p>Elsewhere.</p>{bar}</article>", "own"), (91, "http://d.x/1", f"<article><p>Elsewhere.</p>{bar}</article>", "own")]
+
+
+def test_templates_within_stories(spark):
+    rows = site()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, subtree string").repartition(3)
+    text = {r["page_id"]: r["text"] for r in html_text.main_texts(df).collect()}
+    assert text[3] == "T3\n\nSummary\n\nStory number 3 is told here at length.\n\nMore of 3."
+    assert text[60] == "T50\n\nSummary\n\nOne story is told again and again, with the same words.\n\nMore of 50.", "copies of a story don't make it a template"
+    assert text[90] == text[91] == "Elsewhere.\n\nFollow us on the net\n\nPrint\n\nSend", "two pages are too few"
+    # the counts, by hand
+    pages = {(html_text.host_of(u), h): html_text.Page(h) for _, u, h, _ in rows}
+    on: dict[tuple, set] = {}
+    for (host, h), p in pages.items():
+        for x in p.subtrees():
+            on.setdefault((host, x), set()).add(p.story_key())
+    size = {host: len({p.story_key() for (o, _), p in pages.items() if o == host}) for host, _ in pages}
+    want = {x for (host, x), keys in on.items() if len(keys) >= 3 and (len(keys) >= 0.1 * size[host] or len(keys) >= 20)}
+    keyed = df.select("url", "html").withColumn("_key", html_text.page_key(df.url, df.html)).withColumnsRenamed({"url": "_url", "html": "_html"})
+    assert {x for r in html_text.site_templates(keyed).collect() for x in r["_gone"]} == want and size == {"c.x": 13, "d.x": 1}
+    changed = sum(html_text.Page(h).main_text(set()) != text[i] for i, _, h, _ in rows)
+    assert changed == 42, "templates change rows"
+
+
 def toxic_docs():
     rng = random.Random(6)
     plain, rude = [f"wo{a}{b}" for a in "abcdefgh" for b in "rstuvw"], ["grumbl", "snarkle", "vexo"]
