@@ -258,8 +258,8 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             subtrees += found
             keys += [key] * len(found)
             stories += [key if story is None else story] * len(found)
-            hosts += [host_of(url)] * len(found)
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(keys, pa.int64()), pa.array(stories, pa.int64())], ["host", "subtree", "_key", "story"])
+            hosts += [xxhash.xxh3_64_intdigest(host_of(url)) - (1 << 63)] * len(found)
+        yield pa.record_batch([pa.array(hosts, pa.int64()), pa.array(subtrees, pa.int64()), pa.array(keys, pa.int64()), pa.array(stories, pa.int64())], ["host", "subtree", "_key", "story"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +277,7 @@ def page_key(url: Column, source: Column) -> Column:
 
 def site_templates(pages: DataFrame) -> DataFrame:
     """_key of a page and _gone, its subtrees that are templates of its host. pages: _key, _url, _html."""
-    found = staged(pages.mapInArrow(_hashes, "host string, subtree long, _key long, story long").distinct(), "subtrees")
+    found = staged(pages.mapInArrow(_hashes, "host long, subtree long, _key long, story long"), "subtrees")
     size = found.select("host", "story").distinct().groupBy("host").agg(F.count("*").alias("_pages"))
     recurring = found.select("host", "subtree", "story").distinct().groupBy("host", "subtree").agg(F.count("*").alias("_on")).where(F.col("_on") >= RECUR)
     templates = recurring.join(size, "host").where((F.col("_on") >= SHARE * F.col("_pages")) | (F.col("_on") >= MANY)).select("host", "subtree")
