@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import registry
 from threadloom.functions import parsers as P
 from threadloom.functions import scalars as S
 from threadloom.functions import text as X
@@ -97,3 +99,11 @@ def test_parameters():
     with pytest.raises(ValueError):
         S.window_days("0d")
     assert S.timestamp("2024-01-02") == dt.datetime(2024, 1, 2, tzinfo=dt.UTC) and S.timestamp(" ") is None
+
+
+def test_long_prose_is_whole(spark, tmp_path):
+    text = "word " * 20_000 + "end"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.queries()["diffs_in_text"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["prose_md5"] for r in rows] == [hashlib.md5(t.encode()).hexdigest() for t in (text, "")]
+    assert spark.range(1).select(F.length(X.search_text(F.lit(text)))).first()[0] == 80_000
