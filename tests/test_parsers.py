@@ -107,3 +107,11 @@ def test_long_prose_is_whole(spark, tmp_path):
     rows = registry.queries()["diffs_in_text"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [r["prose_md5"] for r in rows] == [hashlib.md5(t.encode()).hexdigest() for t in (text, "")]
     assert spark.range(1).select(F.length(X.search_text(F.lit(text)))).first()[0] == 80_000
+
+
+def test_tags_are_read_once_a_head(monkeypatch):
+    seen, read = [], P._read_tag
+    monkeypatch.setattr(P, "_read_tag", lambda out, tag: (seen.append(tag), read(out, tag)))
+    found = [P.parse_subject(f"{'Re: ' * (i % 2)}[once-only v4 {i % 2}/7] part {i}") for i in range(10)]
+    assert len(seen) == 6 and [(s.subject_norm_base, s.had_reply_prefix, s.version_num, s.ordinal, s.extra_tags) for s in found] == [(f"part {i}", i % 2 == 1, 4, i % 2, ["once-only"]) for i in range(10)]
+    assert len({id(s.extra_tags) for s in found}) == 10
