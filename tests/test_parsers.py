@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,13 @@ def test_tags_are_read_once_a_head(monkeypatch):
     found = [P.parse_subject(f"{'Re: ' * (i % 2)}[once-only v4 {i % 2}/7] part {i}") for i in range(10)]
     assert len(seen) == 6 and [(s.subject_norm_base, s.had_reply_prefix, s.version_num, s.ordinal, s.extra_tags) for s in found] == [(f"part {i}", i % 2 == 1, 4, i % 2, ["once-only"]) for i in range(10)]
     assert len({id(s.extra_tags) for s in found}) == 10
+
+
+def test_headers_and_names_are_read_once():
+    diff = "text ä\ndiff --git a/drivers/once.c b/drivers/once.c\n--- a/drivers/once.c\n+++ b/drivers/once.c\n@@ -1 +1 @@\n-é\n+x\ndiff --git a/z b/z\nBinary files a/z and b/z differ\n"
+    first = P.diff_files(diff)
+    had = P._sides.cache_info().misses, P._marked.cache_info().misses
+    assert P.diff_files(diff) == first and (P._sides.cache_info().misses, P._marked.cache_info().misses) == had
+    assert [(f["new_path"], f["change_type"], f["additions"], f["diff_start"], f["diff_end"]) for f in first] == [("drivers/once.c", "M", 1, 8, 8 + 106), ("z", "B", 0, 8 + 106, len(diff.encode()))]
+    column = P._diff_files(pa.array([diff, None, "", "no diff"]))
+    assert column.to_pylist() == [first, [], [], []] and column.type == P._FILES_ARROW
