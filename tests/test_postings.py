@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.operators import postings
 from threadloom.operators.postings import Index, build_index, query_words, search_index
@@ -103,3 +104,12 @@ def test_many_words_are_joined(docs, index, monkeypatch):
     monkeypatch.setattr(postings, "NAMED", 1)
     got = {r["doc_id"]: tuple(r)[1:] for r in index.ranked("memory leak").collect()}
     assert got == plain_rules([tuple(r) for r in docs.collect()], "memory leak")
+
+
+def test_words_are_split_once(spark, tmp_path, monkeypatch):
+    split = spark.sparkContext.accumulator(0)
+    once = F.udf(lambda t: split.add(1) or t, "string").asNondeterministic()
+    rows = [(f"d{i}", 0, 3, p, f"word{p}{i % 7}") for i in range(40) for p in range(3)]
+    monkeypatch.setattr(postings, "tokens", lambda docs, fields: spark.createDataFrame(rows, "doc_id string, field int, n int, place int, term string").withColumn("term", once("term")))
+    index = Index(spark, f"file://{tmp_path}/once", buckets=1).build(spark.createDataFrame([("d",)], "doc_id string"), ())
+    assert split.value == len(rows) == index.postings().count()

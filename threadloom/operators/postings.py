@@ -29,6 +29,8 @@ ONE, TWO, LONGEST = 5, 9, 40
 FAR = 8
 #: Words that a query's scan is given by name; with more, it reads the buckets of all.
 NAMED = 2000
+#: Parts of a bucket, which are different tasks' work.
+PARTS = 4
 GAP = r"(?U)[^\p{L}\p{N}_]+"
 POSTINGS = "term string, doc_id string, field int, n int, places array<int>, bucket int"
 RULES = "doc_id string, words int, typos int, proximity int, attribute int, exactness int"
@@ -47,9 +49,11 @@ def query_words(query: str) -> list[str]:
 
 
 def tokens(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """term, doc_id, field (its number), n (the field's words), place of every word of every field."""
+    """term, doc_id, field (its number), n (the field's words), place of every word of every field. Documents are dealt by
+    their id before, as what files hold may be few tasks' work."""
     of = lambda f: F.filter(F.split(ascii_lower(F.coalesce(F.col(f), F.lit(""))), GAP), lambda w: w != "")
-    words = docs.select("doc_id", F.posexplode(F.array(*map(of, fields))).alias("field", "words"))
+    dealt = docs.select("doc_id", *fields).repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    words = dealt.select("doc_id", F.posexplode(F.array(*map(of, fields))).alias("field", "words"))
     return words.select("doc_id", "field", F.size("words").alias("n"), F.posexplode("words").alias("place", "term"))
 
 
@@ -71,16 +75,16 @@ class Index:
         return (F.crc32(c.cast("binary")) % self.buckets).cast("int").alias("bucket")
 
     def build(self, docs: DataFrame, fields: tuple[str, ...]) -> Index:
-        """Write both tables, of documents (doc_id string, fields). Ranges of words, which may end within a
-        word, are what tasks write, so a word that most documents have isn't one task's work."""
-        of = tokens(docs, fields).select("*", self._bucket(F.col("term")))
+        """Write both tables, of documents (doc_id string, fields). A document's words are put together where it is split, and
+        each bucket is dealt in PARTS by a hash, so a word that most documents have isn't one task's work."""
+        tasks = self.spark.sparkContext.defaultParallelism
         by = ["bucket", "term", "doc_id"]
-        rows = of.repartitionByRange(*by).groupBy(*by, "field", "n").agg(F.array_sort(F.collect_list("place")).alias("places"))
-        rows.sortWithinPartitions(*by, "field").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        terms = self.postings().select("term").distinct().where(F.length("term").between(ONE - 1, LONGEST + 2))
+        rows = tokens(docs, fields).groupBy("doc_id", "field", "n", "term").agg(F.array_sort(F.collect_list("place")).alias("places")).select("*", self._bucket(F.col("term")))
+        rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).sortWithinPartitions(*by, "field").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        terms = self.postings().select("term").distinct().where(F.length("term").between(ONE - 1, LONGEST + 2)).repartition(2 * tasks, "term")
         depth = F.when(F.length("term") >= TWO - 2, 2).otherwise(1)
         pairs = terms.select("term", F.explode(deletions(F.col("term"), depth)).alias("variant")).select("*", self._bucket(F.col("variant")))
-        pairs.repartitionByRange("bucket", "variant", "term").sortWithinPartitions("bucket", "variant").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/typos")
+        pairs.repartition("bucket", F.pmod(F.xxhash64("variant"), F.lit(PARTS))).sortWithinPartitions("bucket", "variant").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/typos")
         return self
 
     def postings(self) -> DataFrame:
