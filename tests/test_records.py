@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import timestamp, window_days
 from threadloom.operators.records import advanced, replace_canonical, thread_refs
-from threadloom.operators.search import cropped, filtered
+from threadloom.operators.search import cropped, filtered, patch_item_documents
 from threadloom.sources.repos import COMMITS, discover, hash_embedder
 from threadloom.streaming.incremental import DOCUMENTS, VECTORS, Store, current, ingest_batch
 
@@ -73,3 +73,21 @@ def test_stream_documents(spark, tmp_path):
         seen.append(docs)
     assert seen[0] == {"thread-1-1@x": (1, 0), "thread-1-2@x": (1, 0), "thread-1-4@x": (1, 0)}
     assert seen[1] == seen[2] == {"thread-1-1@x": (3, 1), "thread-1-4@x": (1, 0)}
+
+
+def test_texts_of_items_move_once(spark):
+    items = spark.createDataFrame([(1, 10, 100, 1, "s", None, True), (2, 10, 101, 2, "t", "c", False)], "item_id long, version_id long, message_pk long, ordinal int, subject string, commit_subject string, has_diff boolean")
+    versions = spark.createDataFrame([(10, 7, 1, False, dt.datetime(2024, 1, 2))], "version_id long, series_id long, version_num int, is_rfc boolean, sent_at timestamp")
+    messages = spark.createDataFrame([(100, "a@x", "+" * 70_000), (101, "b@x", None), (102, "c@x", "unused")], "message_pk long, message_id_primary string, diff_text string")
+    files = spark.createDataFrame([(1, "g"), (1, "f"), (1, "g")], "item_id long, new_path string")
+    docs = patch_item_documents(items, versions, spark.createDataFrame([(7, "a")], "series_id long, author_email string"), messages, files, spark.createDataFrame([(7, "l")], "series_id long, list_key string"))
+    got = sorted((r["id"], len(r["diff_search"]), r["file_paths"], r["list_keys"], r["message_id_primary"]) for r in docs.collect())
+    assert got == [(1, 60_000, ["f", "g"], ["l"], "a@x"), (2, 0, [], ["l"], "b@x")]
+    lines = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(lines) if "AS diff_search" in line)
+    above, last = [], depth(lines[at])
+    for line in lines[:at][::-1]:
+        if depth(line) < last:
+            above, last = [*above, line], depth(line)
+    assert sum("Join" in line for line in above) == 1
