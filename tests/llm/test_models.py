@@ -226,6 +226,22 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(d, l.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("entries", [0, 40])
+def test_toxicity_beyond_held_entries(spark, monkeypatch, entries):
+    """Entries that tasks don't hold count all the same: in scores, the calibration and what is dropped."""
+    docs, labels = toxic_docs()
+    d, l = spark.createDataFrame(docs, "doc_id long, text string, toxic string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = lambda: sorted(toxicity.score_toxicity(d, l).collect(), key=str)
+    kept = lambda: sorted(map(str, toxicity.drop_toxic(d, l).collect()))
+    whole, left = rows(), kept()
+    monkeypatch.setattr(toxicity, "ENTRIES", entries)
+    got = rows()
+    assert [(r["doc_id"], r["held_out"], r["predicted"]) for r in got] == [(r["doc_id"], r["held_out"], r["predicted"]) for r in whole]
+    assert [r["score"] for r in got] == pytest.approx([r["score"] for r in whole], abs=1e-12)
+    assert kept() == left and len(left) < len(docs)
+    assert toxicity.score_toxicity(d.limit(0), l).count() == 0
+
+
 def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")

@@ -9,23 +9,25 @@ often costs both the same. A text's score comes from the difference of its log-l
 over the words that one class makes much likelier as toxic, divided by the number of words.
 
 What is fitted on labels uses at most SAMPLE rows of each label, by hash of the id, and of those
-as many as have SAMPLE_BYTES together; all counts of the shared model cover every row. The model
-has at most ENTRIES entries: with more, what the classes see least often is left to the shared
-model. It stays an Arrow table on the driver; tasks make dictionaries of it.
+as many as have SAMPLE_BYTES together; all counts of the shared model cover every row. At most
+ENTRIES entries of the model, those that the classes see most often, are an Arrow table on the
+driver, of which tasks make dictionaries. The others stay a table: the corpus's different words
+are joined with it, and texts with the words that it gives another value.
 """
 
 from __future__ import annotations
 
 import math
 import string
-from collections import Counter
-from collections.abc import Iterator
+from collections import ChainMap, Counter
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +40,13 @@ SAMPLE, SAMPLE_BYTES, FOLDS, HELD_OUT, CALIBRATION = 20_000, 100_000_000, 5, 0,
 #: counts under LEAST are left to the shared model; a gram whose log ratio is within SLIGHT of
 #: what its context gives to unseen ones needs no entry.
 BEFORE, DISCOUNT, MASS, NEUTRAL, LEAST, SLIGHT = 6, 0.75, 20, 3.0, 3, 0.05
-#: Distinct words that a counting task holds before it passes its counts on; entries of a model at most.
-HELD_WORDS, ENTRIES = 250_000, 2_000_000
+#: Distinct words that a task holds before it passes its counts on; entries that tasks hold at most; bits of a filter.
+HELD_WORDS, ENTRIES, FILTER = 250_000, 2_000_000, 1 << 25
 
 WORDS = regex.compile(r"\p{L}+")
 #: Lower-case letters of ASCII and the bytes of other characters; blanks elsewhere.
 PIECE = bytes(b if b >= 0x80 or chr(b) in string.ascii_lowercase else 32 for b in range(256))
-GRAMS = "gram string, n_all long, n_toxic long, n_plain long"
+COUNTS = ["n_all", "n_toxic", "n_plain"]
 
 
 def words_of(text: str) -> list[str]:
@@ -72,26 +74,15 @@ def tail_grams(word: str) -> list[str]:
     return [s[max(0, i - wide) : i] for i in range(min(BEFORE, len(s) - 1) + 1, len(s) + 1)]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
+def _counts(of: str, found: tuple[dict[str, int], ...]) -> Iterator[pa.RecordBatch]:
+    names = list(found[0])  # of all documents, so all names
+    for at in range(0, len(names), 50_000):
+        part = names[at : at + 50_000]
+        yield pa.record_batch([pa.array(part, pa.string()), *(pa.array([f.get(x, 0) for x in part], pa.int64()) for f in found)], [of, *COUNTS])
 
-    def out() -> Iterator[pa.RecordBatch]:
-        grams: tuple[dict[str, int], ...] = ({}, {}, {})
-        for words, found in zip(counts, grams):
-            get, heads = found.get, Counter()
-            for w, n in words.items():
-                heads[w[: BEFORE - 1]] += n
-                for g in tail_grams(w):
-                    found[g] = get(g, 0) + n
-            for head, n in heads.items():
-                for g in head_grams(head):
-                    found[g] = get(g, 0) + n
-            words.clear()
-        names = list(grams[0])  # all documents, so all grams
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield pa.record_batch([pa.array(part, pa.string()), *(pa.array([found.get(g, 0) for g in part], pa.int64()) for found in grams)], ["gram", "n_all", "n_toxic", "n_plain"])
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
     for batch in batches:
         for text, label in zip(batch.column("_text"), batch.column("_label")):
             words, label = set(words_of(text.as_py())), label.as_py()
@@ -99,8 +90,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if label is not None:
                 counts[1 if label else 2].update(words)
             if len(counts[0]) > HELD_WORDS:
-                yield from out()
-    yield from out()
+                yield from _counts("word", counts)
+                for c in counts:
+                    c.clear()
+    yield from _counts("word", counts)
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: tuple[dict[str, int], ...] = ({}, {}, {})
+    for batch in batches:
+        words = batch.column("word").to_pylist()
+        for column, grams in zip(COUNTS, found):
+            get, heads = grams.get, Counter()
+            for w, n in zip(words, batch.column(column).to_pylist()):
+                if n:
+                    heads[w[: BEFORE - 1]] += n
+                    for g in tail_grams(w):
+                        grams[g] = get(g, 0) + n
+            for head, n in heads.items():
+                for g in head_grams(head):
+                    grams[g] = get(g, 0) + n
+        if len(found[0]) > 2 * HELD_WORDS:
+            yield from _counts("gram", found)
+            for grams in found:
+                grams.clear()
+    yield from _counts("gram", found)
+
+
+def _summed(counts: DataFrame, of: str) -> DataFrame:
+    return staged(counts.groupBy(of).agg(*(F.sum(c).alias(c) for c in COUNTS)), f"toxicity-{of}s")
 
 
 def sample_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,25 +134,77 @@ def sample_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model, from the texts of docs and labels (id_col, toxic)."""
+    """The model, from the texts of docs and labels (id_col, toxic). It holds for the words of docs."""
     chosen = sample_labels(docs, labels, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
     rows = docs.select(F.col(id_col).alias("_lid"), text)
-    counted = rows.join(F.broadcast(chosen.where(F.col("_fold") != CALIBRATION)), "_lid", "left").select("_text", "_label").mapInArrow(_count, GRAMS)
-    grams = staged(counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n_all", "n_toxic", "n_plain"))), "toxicity-grams")
-    model = Model(_bounded(_ratios(grams)))
+    schema = "{} string, " + ", ".join(f"{c} long" for c in COUNTS)
+    counted = rows.join(F.broadcast(chosen.where(F.col("_fold") != CALIBRATION)), "_lid", "left").select("_text", "_label")
+    words = _summed(counted.mapInArrow(_count_words, schema.format("word")), "word")
+    grams = _summed(words.mapInArrow(_count_grams, schema.format("gram")), "gram")
+    model = Model(*_divided(_ratios(grams), words))
     held = rows.join(F.broadcast(chosen.where(F.col("_fold") == CALIBRATION)), "_lid")
-    model.calibrate(held.select("_label", raw_udf(model)(F.col("_text")).alias("x")).toArrow())  # at most 2 * SAMPLE rows of two numbers
+    model.calibrate(model.with_raw(held.select("_label", "_text")).select("_label", F.col("_raw").alias("x")).toArrow())  # at most 2 * SAMPLE rows of two numbers
     return model
 
 
-def _bounded(ratios: DataFrame) -> pa.Table:
-    """The model's table (key, own, r), of at most ENTRIES rows: the count under which entries are left out doubles until they fit."""
+def _divided(ratios: DataFrame, words: DataFrame) -> tuple[Entries, DataFrame | None]:
+    """At most ENTRIES of the model's entries, for tasks to hold: the count under which they are left to a table doubles
+    until the others fit. And that of words to which the table gives another value: word, _more (what it adds)."""
     ratios = staged(ratios, "toxicity-ratios")
-    steps = [LEAST << i for i in range(32)]
+    steps = [LEAST << i for i in range(61)]
     sizes = ratios.agg(*[F.count(F.when(F.col("n") >= x, 1)).alias(f"c{i}") for i, x in enumerate(steps)]).first()
     least = next(x for i, x in enumerate(steps) if sizes[i] <= ENTRIES)
-    return ratios.where(F.col("n") >= least).select("key", "own", "r").toArrow()
+    held = Entries(ratios.where(F.col("n") >= least).select("key", "own", "r").toArrow())
+    if least == LEAST:
+        return held, None
+    rest = ratios.where(F.col("n") < least).select("key", "own", "r")
+    context = words.sparkSession.sparkContext
+    bits, sent = context.broadcast(_bits(rest, "key")), context.broadcast(held)
+    asked = words.select("word").mapInArrow(lambda batches: _asked(bits.value, batches), "word string, key string")
+    found = asked.join(rest, "key").groupBy("word").agg(F.collect_list(F.struct("key", "own", "r")).alias("found"))
+    others = staged(found.mapInArrow(lambda batches: _valued(sent.value, batches), "word string, _more double"), "toxicity-others")
+    return Entries(held.table, _bits(others, "word")), others
+
+
+def _bits(rows: DataFrame, column: str) -> bytes:
+    """FILTER bits, of which those at the hashes of a column's values are set."""
+    place = F.xxhash64(column).bitwiseAND(F.lit(FILTER - 1))
+    at = rows.select(F.shiftright(place, 6).alias("at"), (place % 64).cast("int").alias("bit")).select("at", F.expr("shiftleft(1L, bit)").alias("bit"))
+    found = at.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER / 64 rows
+    out = np.zeros(FILTER // 64, "<i8")
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def likely(bits: bytes, value: str) -> int:
+    """Not 0 if value may be among those of the filter."""
+    place = xxhash.xxh64_intdigest(value.encode(), 42) % FILTER  # as Spark's xxhash64
+    return bits[place >> 3] >> (place & 7) & 1
+
+
+def _asked(bits: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each word that may be in the filter's table: few, so that keys of many words crowd no task."""
+    kept = _Kept(lambda key: likely(bits, key))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 5_000):
+            words, keys = [], []
+            for w in batch.column("word").slice(at, 5_000).to_pylist():
+                grams = {*head_grams(w[: BEFORE - 1]), *tail_grams(w)}
+                some = [k for k in grams | {g[:-1] for g in grams} if kept[k]]
+                words += [w] * len(some)
+                keys += some
+            yield pa.record_batch([pa.array(words, pa.string()), pa.array(keys, pa.string())], ["word", "key"])
+
+
+def _valued(entries: Entries, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words whose value is another with the entries found for them."""
+    entries.load()
+    for batch in batches:
+        words = batch.column("word").to_pylist()
+        more = [entries.word_with(w, found) - entries.word(w) for w, found in zip(words, batch.column("found").to_pylist())]
+        rows = [i for i, x in enumerate(more) if x]
+        yield pa.record_batch([pa.array([words[i] for i in rows], pa.string()), pa.array([more[i] for i in rows], pa.float64())], ["word", "_more"])
 
 
 def _ratios(grams: DataFrame) -> DataFrame:
@@ -175,36 +245,90 @@ class _Kept(dict):
         return x
 
 
-class Model:
-    """Log ratios by gram and by context, and the calibration of a text's raw score."""
-
-    def __init__(self, entries: pa.Table):
-        self.entries, self.weights = entries, (0.0, 1.0)
-        self.grams, self.contexts, self.kept, self.heads = {}, {}, None, None
-
-    def _sum(self, grams: list[str]) -> float:
-        x, get, rest = 0.0, self.grams.get, self.contexts.get
-        for g in grams:
-            if (r := get(g)) is None:
-                r = rest(g[:-1], 0.0)
-            x += r
-        return x
+def _sum(grams: list[str], own: Mapping[str, float], contexts: Mapping[str, float]) -> float:
+    x, get, rest = 0.0, own.get, contexts.get
+    for g in grams:
+        if (r := get(g)) is None:
+            r = rest(g[:-1], 0.0)
+        x += r
+    return x
+
+
+class Entries:
+    """Log ratios by gram and by context, as tasks hold them, and a filter of the words that others give another value."""
+
+    def __init__(self, table: pa.Table, bits: bytes | None = None):
+        self.table, self.bits = table, bits
+        self.grams, self.contexts, self.kept, self.heads, self.other = {}, {}, None, None, None
+
+    def load(self) -> None:
+        if self.kept is None:
+            for mine, of in ((True, self.grams), (False, self.contexts)):
+                part = self.table.filter(pc.equal(self.table.column("own"), mine))
+                of.update(zip(part.column("key").to_pylist(), part.column("r").to_pylist()))
+            self.table = None
+            self.kept, self.heads = _Kept(self.word), _Kept(lambda head: _sum(head_grams(head), self.grams, self.contexts))
+            self.other = _Kept(lambda word: likely(self.bits, word))
 
     def word(self, w: str) -> float:
-        x = self.heads[w[: BEFORE - 1]] + self._sum(tail_grams(w))
+        x = self.heads[w[: BEFORE - 1]] + _sum(tail_grams(w), self.grams, self.contexts)
+        return x if x >= NEUTRAL else 0.0
+
+    def word_with(self, w: str, found: list[dict]) -> float:
+        """Its value with more entries."""
+        own, contexts = (ChainMap({f["key"]: f["r"] for f in found if f["own"] == mine}, of) for mine, of in ((True, self.grams), (False, self.contexts)))
+        x = _sum(head_grams(w[: BEFORE - 1]), own, contexts) + _sum(tail_grams(w), own, contexts)
         return x if x >= NEUTRAL else 0.0
 
     def raw(self, text: str) -> float:
         """Difference of the log-likelihoods by word, spread by a logarithm."""
-        if self.kept is None:
-            for mine, of in ((True, self.grams), (False, self.contexts)):
-                part = self.entries.filter(pc.equal(self.entries.column("own"), mine))
-                of.update(zip(part.column("key").to_pylist(), part.column("r").to_pylist()))
-            self.entries = None
-            self.kept, self.heads = _Kept(self.word), _Kept(lambda head: self._sum(head_grams(head)))
+        self.load()
         words = words_of(text)
         return math.log1p(1000 * math.fsum(map(self.kept.__getitem__, words)) / max(1, len(words)))
 
+    def parts(self, text: str) -> tuple[float, int, list[str]]:
+        """Sum and number of the words, and those that may have another value."""
+        self.load()
+        words = words_of(text)
+        return math.fsum(map(self.kept.__getitem__, words)), len(words), [w for w in words if self.other[w]]
+
+
+class Model:
+    """Entries that tasks hold, the words to which all others give another value (None: no others), and the calibration of a text's raw score."""
+
+    def __init__(self, entries: Entries, others: DataFrame | None):
+        from pyspark.sql import SparkSession
+
+        self.others, self.weights = others, (0.0, 1.0)
+        self.sent = SparkSession.active().sparkContext.broadcast(entries)
+
+    def raw(self, text: Column) -> Column:
+        """The raw score of a text that isn't null, where tasks hold all entries."""
+        sent = self.sent
+
+        @F.pandas_udf("double")
+        def raw(texts: pd.Series) -> pd.Series:
+            return pd.Series(list(map(sent.value.raw, texts)), dtype="float64")
+
+        return raw(text)
+
+    def with_raw(self, rows: DataFrame) -> DataFrame:
+        """rows with _raw, their _text's raw score, in its place."""
+        if self.others is None:
+            return rows.withColumn("_raw", self.raw(F.col("_text"))).drop("_text")
+        sent = self.sent
+
+        @F.pandas_udf("x double, n long, words array<string>")
+        def parts(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame(list(map(sent.value.parts, texts)), columns=["x", "n", "words"]).astype({"x": "float64", "n": "int64"})
+
+        split = staged(rows.withColumn("_parts", parts("_text")).drop("_text").withColumn("_row", F.monotonically_increasing_id()), "toxicity-parts")
+        words = split.select("_row", F.explode("_parts.words").alias("word"))
+        more = words.join(self.others, "word").groupBy("_row").agg(F.sum(F.col("_more").cast("decimal(28,18)")).cast("double").alias("_more"))  # whatever the order
+        total = F.col("_parts.x") + F.coalesce("_more", F.lit(0.0))
+        raw = F.log1p(1000 * F.greatest(total, F.lit(0.0)) / F.greatest(F.col("_parts.n"), F.lit(1)))
+        return split.join(more, "_row", "left").withColumn("_raw", raw).drop("_row", "_parts", "_more")
+
     def calibrate(self, held: pa.Table) -> None:
         """Logistic regression of the label on the raw score, by Newton's method with a small ridge."""
         x, y = held.column("x").to_numpy().astype(float), held.column("_label").to_numpy().astype(float)
@@ -217,32 +341,9 @@ class Model:
             w = w - np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (p - y) + ridge @ w)
         self.weights = (float(w[0]), float(w[1]))
 
-    def score(self, text: str) -> float:
-        z = self.weights[0] + self.weights[1] * self.raw(text)
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
-
-
-def _udf(of):
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        f = of()
-        return pd.Series([f(t or "") for t in texts], dtype="float64")
-
-    return run
-
-
-def raw_udf(model: Model):
-    from pyspark.sql import SparkSession
-
-    sent = SparkSession.active().sparkContext.broadcast(model)
-    return _udf(lambda: sent.value.raw)
-
-
-def score_udf(model: Model):
-    from pyspark.sql import SparkSession
-
-    sent = SparkSession.active().sparkContext.broadcast(model)
-    return _udf(lambda: sent.value.score)
+    def score(self, raw: Column) -> Column:
+        z = self.weights[0] + self.weights[1] * raw
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z))))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,11 +355,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     Repeated rows get equal scores each. Other columns of docs and labels are ignored.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    scored = docs.select(F.col(id_col), (fold(F.col(id_col)) == HELD_OUT).alias("held_out"), score_udf(model)(F.col(text_col)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    raw = model.with_raw(docs.select(F.col(id_col), (fold(F.col(id_col)) == HELD_OUT).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")))
+    return raw.select(id_col, "held_out", model.score(F.col("_raw")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that the model predicts to be toxic."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    return docs.where(score_udf(model)(F.col(text_col)) < 0.5)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if model.others is None:
+        return docs.where(model.score(model.raw(text)) < 0.5)
+    digest = F.xxhash64(text), F.xxhash64(F.lit(7), text)
+    raw = model.with_raw(docs.select(digest[0].alias("_d1"), digest[1].alias("_d2"), text.alias("_text")))
+    toxic = staged(raw.where(model.score(F.col("_raw")) >= 0.5).select("_d1", "_d2"), "toxic")
+    return docs.join(toxic, (digest[0] == toxic["_d1"]) & (digest[1] == toxic["_d2"]), "left_anti")
