@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,10 @@ def test_words_are_split_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "tokens", lambda docs, fields: spark.createDataFrame(rows, "doc_id string, field int, n int, place int, term string").withColumn("term", once("term")))
     index = Index(spark, f"file://{tmp_path}/once", buckets=1).build(spark.createDataFrame([("d",)], "doc_id string"), ())
     assert split.value == len(rows) == index.postings().count()
+
+
+def test_tables_are_compressed_well(index):
+    for table in ("postings", "typos"):
+        files = list(Path(index.path.removeprefix("file://"), table).rglob("*.parquet"))
+        groups = [pq.ParquetFile(f).metadata.row_group(0) for f in files]
+        assert groups and {g.column(c).compression for g in groups for c in range(g.num_columns)} == {"ZSTD"}

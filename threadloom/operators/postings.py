@@ -76,15 +76,16 @@ class Index:
 
     def build(self, docs: DataFrame, fields: tuple[str, ...]) -> Index:
         """Write both tables, of documents (doc_id string, fields). A document's words are put together where it is split, and
-        each bucket is dealt in PARTS by a hash, so a word that most documents have isn't one task's work."""
+        each bucket is dealt in PARTS by a hash, so a word that most documents have isn't one task's work. Of all that the index takes, deletions
+        are most; they are alike where they are sorted, so both tables are compressed with zstd."""
         tasks = self.spark.sparkContext.defaultParallelism
         by = ["bucket", "term", "doc_id"]
         rows = tokens(docs, fields).groupBy("doc_id", "field", "n", "term").agg(F.array_sort(F.collect_list("place")).alias("places")).select("*", self._bucket(F.col("term")))
-        rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).sortWithinPartitions(*by, "field").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).sortWithinPartitions(*by, "field").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings")
         terms = self.postings().select("term").distinct().where(F.length("term").between(ONE - 1, LONGEST + 2)).repartition(2 * tasks, "term")
         depth = F.when(F.length("term") >= TWO - 2, 2).otherwise(1)
         pairs = terms.select("term", F.explode(deletions(F.col("term"), depth)).alias("variant")).select("*", self._bucket(F.col("variant")))
-        pairs.repartition("bucket", F.pmod(F.xxhash64("variant"), F.lit(PARTS))).sortWithinPartitions("bucket", "variant").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/typos")
+        pairs.repartition("bucket", F.pmod(F.xxhash64("variant"), F.lit(PARTS))).sortWithinPartitions("bucket", "variant", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/typos")
         return self
 
     def postings(self) -> DataFrame:
